@@ -35,14 +35,14 @@ def map_texts(
     """
     small_batches(df.sparkSession)
     kept = [F.col(f"`{c}`") for c in carry]
-    read = df.select(*kept, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
+    at = carry.index(text) if text in carry and df.schema[text].dataType == STRING else len(carry)
+    read = df.select(*kept, *([F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(fresh(df, "read"))] if at == len(carry) else []))
     types = {f.name: _arrow(f.dataType) for f in out}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            made = work(texts)
+            made = work([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(carry))] + [pa.array(made[k], types[k]) for k in types],
                 names=[*carry, *types],
@@ -51,6 +51,14 @@ def map_texts(
     return read.mapInArrow(run, T.StructType([df.schema[c] for c in carry] + list(out)))
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"__{base}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -64,12 +72,3 @@ def struct(**fields: T.DataType) -> T.StructType:
 LONG, STRING, DOUBLE, BOOL, INT, BINARY = (
     T.LongType(), T.StringType(), T.DoubleType(), T.BooleanType(), T.IntegerType(), T.BinaryType(),
 )
-
-
-def whole_rows(df: DataFrame, *extra: Column) -> DataFrame:
-    """df's row as one column `row`, beside extra columns; so no name can clash."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *extra)
-
-
-def unpack(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col("row").getField(c).alias(c) for c in like.columns])

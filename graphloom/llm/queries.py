@@ -7,7 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import pieces
+from . import decontam, html_text, lm_score, pieces, quality_forest, token_counts
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(C.table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_counts.encoded_lengths(C.table(spark, sf_dir, "documents"), [])
+    return token_counts.suffix_sums(token_counts.histogram(lengths))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+def op7_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_forest.judged(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +37,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_text": op2_html_text,
+        "op3_decontamination": op3_decontamination,
+        "op4_token_counts": op4_token_counts,
+        "op6_lm_score": op6_lm_score,
+        "op7_quality_forest": op7_quality_forest,
         "op8_sentencepiece": op8_sentencepiece,
     }
 
