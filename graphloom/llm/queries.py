@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontam, html_text, lm_score, pieces, quality_forest, token_counts
+from . import decontam, html_text, lm_score, pieces, pii, quality_forest, token_counts
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(C.table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +41,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_html_text": op2_html_text,
         "op3_decontamination": op3_decontamination,
         "op4_token_counts": op4_token_counts,
