@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontam, html_text, lm_score, pieces, pii, quality_forest, token_counts
+from . import decontam, html_text, lm_score, pieces, pii, quality_forest, token_counts, toxicity
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(lengths))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"), ["doc_id"])
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_text": op2_html_text,
         "op3_decontamination": op3_decontamination,
         "op4_token_counts": op4_token_counts,
+        "op5_toxicity": op5_toxicity,
         "op6_lm_score": op6_lm_score,
         "op7_quality_forest": op7_quality_forest,
         "op8_sentencepiece": op8_sentencepiece,
