@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontam, html_text, lm_score, pieces, pii, quality_forest, token_counts, toxicity
+from . import decontam, html_text, lm_score, pieces, pii, quality_forest, simhash, token_counts, toxicity
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(C.table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(C.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_lm_score": op6_lm_score,
         "op7_quality_forest": op7_quality_forest,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_simhash": op9_simhash,
     }
 
 
