@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontam, html_text, lm_score, pieces, pii, quality_forest, simhash, token_counts, toxicity
+from . import decontam, html_text, lm_score, pieces, pii, quality_forest, simhash, suffix_dedup, token_counts, toxicity
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(C.table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(C.table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -58,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_forest": op7_quality_forest,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_simhash": op9_simhash,
+        "op10_suffix_dedup": op10_suffix_dedup,
+        "pipeline": pipeline,
     }
 
 
