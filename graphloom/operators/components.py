@@ -39,3 +39,66 @@ def stars(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     roots = star.select(F.col("small").alias("id")).distinct()
     alone = loops.join(found, "id", "left_anti").join(roots, "id", "left_anti")
     return found.unionByName(roots.unionByName(alone).select("id", F.col("id").alias("component")))
+
+
+# what graphs ask of components
+
+
+def components(g, include_isolated: bool = False) -> DataFrame:
+    """id, component (its least id). Edges count in both directions. Nodes without an edge are unknown unless asked for."""
+    found = stars(g.edges)
+    if not include_isolated:
+        return found
+    alone = g.nodes.select("id").join(found, "id", "left_anti")
+    return found.unionByName(alone.select("id", F.col("id").alias("component")))
+
+
+def component_sizes(found: DataFrame) -> DataFrame:
+    return found.groupBy("component").agg(F.count("*").alias("size"))
+
+
+def component_count(found: DataFrame) -> int:
+    return found.select("component").distinct().count()
+
+
+def are_connected(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, connected for a table of pairs; False if either is unknown."""
+    side = lambda name: found.select(F.col("id").alias(name), F.col("component").alias(f"c_{name}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.select("a", "b", F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False)).alias("connected"))
+
+
+def is_connected(found: DataFrame, a: int, b: int) -> bool:
+    pair = found.sparkSession.createDataFrame([(a, b)], "a long, b long")
+    return are_connected(found, pair).first()["connected"]
+
+
+def connected_nodes(found: DataFrame, node_id: int) -> DataFrame | None:
+    """Ids of the node's component, or None if it is unknown."""
+    row = found.where(F.col("id") == node_id).first()
+    return row and found.where(F.col("component") == row["component"]).select("id")
+
+
+class ConnectedSubgraphs:
+    """A graph's components as graphs of their own. Nodes without edges are components by themselves."""
+
+    def __init__(self, g):
+        self.graph = g
+        self.of = cut(components(g, include_isolated=True))
+
+    def nodes(self) -> DataFrame:
+        """id, label, component."""
+        return self.graph.nodes.join(self.of, "id")
+
+    def edges(self) -> DataFrame:
+        """src, dst, label, component."""
+        return self.graph.edges.join(self.of.withColumnRenamed("id", "src"), "src").select("src", "dst", "label", "component")
+
+    def roots(self) -> DataFrame:
+        return self.of.select("component").distinct()
+
+    def subgraph(self, component: int):
+        from ..graph import PropertyGraph
+
+        own = F.col("component") == component
+        return PropertyGraph(self.nodes().where(own).select("id", "label"), self.edges().where(own).drop("component"), self.graph.directed)
