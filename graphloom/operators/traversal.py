@@ -92,26 +92,25 @@ def dfs(g: PropertyGraph, start: int | None = None, reachable_only: bool = False
     start = _start(g, start)
     tree = cut(trees(g, start, reachable_only))
     edges = _inside(g, tree)
-    members = tree.select(F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), "tree")
+    # a node without edges still makes a row: a loop, which the walk ignores
+    members = tree.select(F.col("id").alias("src"), F.col("id").alias("dst"), "tree")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(rows["tree"].iloc[0])
-        links = rows.dropna(subset=["dst"]).sort_values("dst")
-        after = links.groupby("src")["dst"].agg(list).to_dict()
+        after = rows[rows["src"] != rows["dst"]].sort_values("dst").groupby("src")["dst"].agg(list).to_dict()
         root = start if tree == FIRST else tree
         found, stack, order = {root}, [root], []
         while stack:
             at = stack.pop()
             order.append(at)
             for n in after.get(at, ()):
-                if int(n) not in found:
-                    found.add(int(n))
-                    stack.append(int(n))
+                if n not in found:
+                    found.add(n)
+                    stack.append(n)
         return pd.DataFrame({"id": order, "tree": tree, "at": range(len(order))})
 
-    # dst as string keeps 64-bit ids whole where a column has nulls
     rows = edges.select("src", "dst", "tree").unionByName(members)
-    walked = rows.groupBy("tree").applyInPandas(lambda p: walk(p.assign(dst=p["dst"].astype("Int64"))), "id long, tree long, at long")
+    walked = rows.groupBy("tree").applyInPandas(walk, "id long, tree long, at long")
     return numbered(cut(walked), [F.col("tree"), F.col("at")], "pos").select("id", _root(start), "pos")
 
 
