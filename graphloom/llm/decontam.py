@@ -71,8 +71,9 @@ def best_distance(masks: dict[str, int], size: int, text: str) -> int:
                 best = score
         plus = plus << 1 & ones
         minus = minus << 1 & ones
-        down = plus & (equal | down)
-        up = minus | ~((equal | down) | plus) & ones
+        along = equal | down
+        down = plus & along
+        up = minus | ~(along | plus) & ones
     return best
 
 

@@ -200,8 +200,8 @@ def reliabilities(table: list[tuple[tuple[int, ...], int]], rounds: int = 50) ->
                 seen[votes[k]][1] += (1 - p) * n
             sums = [sum(x[i] for x in seen.values()) for i in (0, 1)]
             # a labeler counts as better than chance until votes say otherwise
-            hope = {-1: (0.1, 1.0), 0: (0.5, 0.5), 1: (1.0, 0.1)}
-            probs.append({v: tuple((seen[v][i] + 4 * hope[v][i]) / (sums[i] + 4 * 1.6) for i in (0, 1)) for v in seen})
+            hope = {-1: (0.1, 1.0), 0: (0.5, 0.5), 1: (1.0, 0.4)}
+            probs.append({v: tuple((seen[v][i] + 4 * hope[v][i]) / (sums[i] + 4 * sum(h[i] for h in hope.values())) for i in (0, 1)) for v in seen})
         post = []
         for votes, _ in table:
             odds = math.log(share / (1 - share)) + sum(math.log(probs[k][v][0] / probs[k][v][1]) for k, v in enumerate(votes))
@@ -226,7 +226,10 @@ def trained(docs: DataFrame, text: str = "text") -> Model:
     start, weight = {}, {}
     for k in KINDS:
         own = sorted((tuple(r[n] for n in names), r["count"]) for r in counted if r["kind"] == k)
-        share, _, post = reliabilities([(v[: len(VOTES)], n) for v, n in own]) if own else (0.5, [], [])
+        post = reliabilities([(v[: len(VOTES)], n) for v, n in own])[2] if own else []
+        # the classifier decides on loose candidates only, so it begins with the share of true ones among them
+        loose = [(q * n, n) for q, (v, n) in zip(post, own) if v[0] == 0]
+        share = (sum(q for q, _ in loose) + 1) / (sum(n for _, n in loose) + 2)
         start[k], weight[k] = math.log(share / (1 - share)), {}
         for i, name in enumerate(names):
             # the pattern labeler abstains on loose candidates by definition, so it says nothing of them
@@ -234,8 +237,8 @@ def trained(docs: DataFrame, text: str = "text") -> Model:
                 yes = sum(p * n for p, (v, n) in zip(post, own) if v[i] == value)
                 no = sum((1 - p) * n for p, (v, n) in zip(post, own) if v[i] == value)
                 all_yes, all_no = (sum(q * n for q, (_, n) in zip(side, own)) for side in (post, [1 - p for p in post]))
-                hope = (2.0, 0.5) if value > 0 else (0.5, 2.0) if value < 0 else (1.0, 1.0)
-                weight[k][name, value] = math.log((yes + hope[0]) / (all_yes + 3)) - math.log((no + hope[1]) / (all_no + 3))
+                hope = (4.0, 2.0) if value > 0 and name in VOTES else (0.4, 4.0) if value < 0 else (2.0, 2.0)
+                weight[k][name, value] = math.log((yes + hope[0]) / (all_yes + 6.4)) - math.log((no + hope[1]) / (all_no + 6.4))
     return Model(start, weight)
 
 
