@@ -166,7 +166,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     prints = cut(fingerprints(docs, [doc_id], text))
     found = cut(components(prints, doc_id))
     stay = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(doc_id)).distinct()
-    kept = docs.join(stay, doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id])
+    kept = docs.join(stay, doc_id, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates([doc_id])
     fp, root = C.fresh(docs, "fp"), C.fresh(docs, "root")
     nameless = fingerprints(docs.where(F.col(doc_id).isNull()), docs.columns, text, fp)
     nameless = nameless.join(found.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("root").alias(root)), fp)
