@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import numbered
 from ..graph import PropertyGraph
 from ..scratch import cut
+from ..shipping import ship
 
 #: Ranks before all ids.
 FIRST = -(1 << 63)
@@ -110,6 +111,7 @@ def dfs(g: PropertyGraph, start: int | None = None, reachable_only: bool = False
         return pd.DataFrame({"id": order, "tree": tree, "at": range(len(order))})
 
     rows = edges.select("src", "dst", "tree").unionByName(members)
+    ship(g.spark)
     walked = rows.groupBy("tree").applyInPandas(walk, "id long, tree long, at long")
     return numbered(cut(walked), [F.col("tree"), F.col("at")], "pos").select("id", _root(start), "pos")
 
