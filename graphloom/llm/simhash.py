@@ -132,6 +132,7 @@ def anchored(fps: DataFrame, homes: bool, threshold: int) -> DataFrame:
             columns = (home, fp) if homes else (sent, fp[number])
             yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].view(np.int64))], names=["anchor", "fp"])
 
+    C.small_batches(fps.sparkSession)
     return fps.select("fp").mapInArrow(run, "anchor long, fp long")
 
 
