@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 
-#: Rows that one Arrow batch holds at most, so that a batch of long texts stays small.
-BATCH_ROWS = 256
+#: Rows and bytes that one Arrow batch holds at most (a single longer text makes a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ def small_batches(spark: SparkSession) -> None:
     """Call before Python runs on executors: bounds the batches, and sends this package along."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_texts(

@@ -26,7 +26,7 @@ from . import common as C
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that belongs to the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BAND = 4096
+BAND = 256
 _READY: dict = {}
 
 
