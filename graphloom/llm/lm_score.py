@@ -30,8 +30,9 @@ from . import common as C
 from .words import mixed, word_hashes
 
 VOCABULARY, PAIRS = 1 << 18, 1 << 21
-#: Weight of the pair counts against the word counts.
-WEIGHT = 0.7
+#: Weight of the pair counts against the word counts, and of the word counts against equal shares. Weights, unlike
+#: added counts, mean the same for corpora of different sizes.
+WEIGHT, WORD_WEIGHT = 0.7, 0.9
 
 
 def cells(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +69,10 @@ def counts(docs: DataFrame, good: str, text: str = "text") -> DataFrame:
 
 
 def log_model(words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word probabilities (one added to each count), word counts and pair counts."""
-    return ((words + 1.0) / (words.sum() + len(words))).astype(np.float32), words.astype(np.float32), pairs.astype(np.float32)
+    """Word probabilities, word counts and pair counts."""
+    total = words.sum()
+    share = WORD_WEIGHT * words / total + (1 - WORD_WEIGHT) / len(words) if total else np.full(len(words), 1 / len(words))
+    return share.astype(np.float32), words.astype(np.float32), pairs.astype(np.float32)
 
 
 def losses(model: tuple[np.ndarray, np.ndarray, np.ndarray], words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -88,7 +91,8 @@ def scored(docs: DataFrame, labels: DataFrame, carry: list[str], doc_id: str = "
     spark = docs.sparkSession
     said = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg((F.max(quality) == 1).alias("__good"))
     read = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    joined = read.join(said.where("__good"), "__id", "left")
+    # the labels have no size bound, so they are never broadcast
+    joined = read.hint("merge").join(said.where("__good").hint("merge"), "__id", "left")
     size = VOCABULARY + PAIRS
     table = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
     for batch in _batches(counts(joined, "__good", "__text")):
