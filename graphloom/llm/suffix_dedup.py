@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,9 @@ from .words import _powers, mixed
 LENGTH, WINDOW, GRAM = 200, 168, 33
 #: Bytes that are handled at once, and suffixes in a merge (on average).
 PIECE, PER_MERGE, RUN_BLOCK = 1 << 19, 40_000, 4096
+#: Ranges of leading grams, and heads that the driver sees for each; where there must be more parts, the grams of a
+#: range are dealt out further by hash.
+RANGES, HEADS = 256, 32
 
 
 def _window_least(key: np.ndarray, window: int) -> np.ndarray:
@@ -255,8 +259,8 @@ def repeated_offsets(shared: np.ndarray, lefts: list[bytes], low: np.ndarray, hi
     return out
 
 
-def _runs(suffixes: DataFrame, splitters: list[bytes]) -> DataFrame:
-    """Each task's suffixes, sorted and front-coded, in blocks for the parts between splitters."""
+def _runs(suffixes: DataFrame, splitters: list[bytes], dealt: int) -> DataFrame:
+    """Each task's suffixes, sorted and front-coded, in blocks for the parts between splitters, each dealt out once more."""
     sent = suffixes.sparkSession.sparkContext.broadcast(splitters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,15 +272,15 @@ def _runs(suffixes: DataFrame, splitters: list[bytes]) -> DataFrame:
             rows.sort()
             cuts = sent.value
             blocks: list[dict] = []
-            k = 0
-            while k < len(rows):
-                part = bisect_right(cuts, rows[k][0][:GRAM])
-                stop = k
-                while stop < len(rows) and stop - k < RUN_BLOCK and bisect_right(cuts, rows[stop][0][:GRAM]) == part:
-                    stop += 1
-                shared, tails = front_coded([r[0] for r in rows[k:stop]])
-                blocks.append({"part": part, "run": f"{rows[0][2].hex()}:{count}:{k}", "shared": shared, "tails": tails, "left": [r[1] for r in rows[k:stop]], "full": [r[2] for r in rows[k:stop]], "low": [r[3] for r in rows[k:stop]], "high": [r[4] for r in rows[k:stop]]})
-                k = stop
+            parts: dict[int, list[int]] = {}
+            for i, r in enumerate(rows):
+                gram = r[0][:GRAM]
+                parts.setdefault(bisect_right(cuts, gram) * dealt + (crc32(gram) % dealt if dealt > 1 else 0), []).append(i)
+            for part, all_of in parts.items():
+                for k in range(0, len(all_of), RUN_BLOCK):
+                    some = [rows[i] for i in all_of[k : k + RUN_BLOCK]]
+                    shared, tails = front_coded([r[0] for r in some])
+                    blocks.append({"part": part, "run": f"{some[0][2].hex()}:{count}:{k}", "shared": shared, "tails": tails, "left": [r[1] for r in some], "full": [r[2] for r in some], "low": [r[3] for r in some], "high": [r[4] for r in some]})
             rows.clear()
             count += 1
             if blocks:
@@ -332,24 +336,33 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     """k1, k2, places: for texts (by their hashes) the anchors at which strings repeat, with the offsets
     (null: all of the anchor's)."""
     C.small_batches(docs.sparkSession)
-    grams = _places(docs, text, True).groupBy("gram").count().where("count > 1").select("gram")
-    some = _places(docs, text, False).join(grams, "gram").groupBy("k1", "k2").agg(F.collect_set("place").alias("some"))
-    with_text = _keyed(docs, text).join(some, ["k1", "k2"]).select("k1", "k2", "bytes", "some")
-    found = scratch.keep(_surroundings(with_text), "found")
+    # what is joined is written first: Spark splits a hot side only where both sides come straight from their exchanges
+    grams = scratch.keep(_places(docs, text, True).groupBy("gram").count().where("count > 1").select("gram"), "grams")
+    some = scratch.keep(_places(docs, text, False).join(grams, "gram").groupBy("k1", "k2").agg(F.collect_set("place").alias("some")), "some")
+    found = scratch.keep(_surroundings(_keyed(docs, text).join(some, ["k1", "k2"]).select("k1", "k2", "bytes", "some")), "found")
+    scratch.drop("grams")
+    scratch.drop("some")
     single = scratch.keep(found.groupBy("full").agg(F.count("*").alias("n"), F.min("around").alias("around"), F.min(F.col("place").bitwiseAND(65535)).alias("place")), "single")
     # grams that stand in one surrounding only are known already
     gram = F.xxhash64(F.substring("around", F.col("place").bitwiseAND(255).cast("int") + 1, F.lit(GRAM)))
     several = single.groupBy(gram.alias("gram")).count().where("count > 1").select("gram")
     suffixes = scratch.keep(single.withColumn("gram", gram).join(several, "gram").select("full", "around", "place"), "suffixes")
-    parts = max(1, suffixes.count() // PER_MERGE)
+    number = suffixes.count()
+    parts = max(1, number // PER_MERGE)
     head = F.substring("around", F.col("place").bitwiseAND(255).cast("int") + 1, F.lit(GRAM))
-    # 32 heads for each part, by hash: enough to cut evenly; a bound that grows with the number of parts alone
-    heads = sorted(bytes(r[0]) for r in suffixes.orderBy(F.xxhash64("full")).limit(32 * parts).select(head).collect())
-    splitters = [heads[k * len(heads) // parts] for k in range(1, parts)] if heads else []
-    merged = _merged(_runs(suffixes, splitters), max(parts, 1))
+    ranges = min(parts, RANGES)
+    # between one and two times HEADS * ranges of them, by hash
+    every = max(1, number // (HEADS * ranges))
+    heads = sorted(bytes(r[0]) for r in suffixes.where(F.pmod(F.xxhash64("full"), F.lit(every)) == 0).select(head).collect()) if parts > 1 else []
+    splitters = [heads[k * len(heads) // ranges] for k in range(1, ranges)] if heads else []
+    dealt = -(-parts // ranges)
+    merged = _merged(_runs(suffixes, splitters, dealt), ranges * dealt)
     once = merged.join(single.where("n = 1").select("full"), "full")
     known = single.where("n > 1").select("full", F.lit(None).cast("binary").alias("offsets")).unionByName(once)
-    return found.select("k1", "k2", "place", "full").join(known, "full").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "offsets")).alias("places"))
+    places = scratch.keep(found.select("k1", "k2", "place", "full").join(known, "full").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "offsets")).alias("places")), "places")
+    for name in ("found", "single", "suffixes"):
+        scratch.drop(name)
+    return places
 
 
 def kept_bytes(data: bytes, places: list[tuple[int, bytes | None]]) -> tuple[np.ndarray, int]:
