@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 #: One edit for so many characters of an item.
-CHARS_PER_EDIT = 20
+CHARS_PER_EDIT = 12
 BLOCK_CHARS = 4_000_000
 HITS = T.ArrayType(C.struct(item_id=C.LONG, distance=C.INT))
 
