@@ -237,6 +237,31 @@ def test_scores_prefer_the_target(spark, odd, labels):
     assert lm_score.scored(odd.limit(0), labels.limit(0), ["doc_id"]).count() == 0
 
 
+def test_scores_are_of_exact_counts(spark, monkeypatch):
+    """More pairs than a table of fixed size tells apart, in several chunks and buckets, like plain counting."""
+    monkeypatch.setattr(lm_score, "CHUNK_CHARS", 3000)
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 20_000)
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(40_000)}" if r.random() < 0.7 else r.choice("abc") for _ in range(r.randint(0, 400))) for _ in range(300)]
+    good = {i for i in range(300) if i % 3 == 0}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    said = spark.createDataFrame([(i, int(i in good)) for i in range(300) if i % 2 == 0 or i in good], "doc_id long, quality int")
+    found = by_id(lm_score.scored(docs, said, ["doc_id"]))
+    assert len(found) == 300
+    size = len({w for t in texts for w in t.split()})
+    for name, own in (("target_loss", good), ("background_loss", range(300))):
+        words = Counter(w for i in own for w in texts[i].split())
+        pairs = Counter(p for i in own for p in zip(texts[i].split(), texts[i].split()[1:]))
+        n = sum(words.values())
+        for i, t in enumerate(texts):
+            w = t.split()
+            each = []
+            for k, x in enumerate(w):
+                p, before = 0.9 * words[x] / n + 0.1 / size, words[w[k - 1]] if k else 0
+                each.append(-np.log(0.7 * pairs[w[k - 1], x] / before + 0.3 * p if before else p))
+            assert found[i]["n_words"] == len(w) and found[i][name] == pytest.approx(np.mean(each) if each else 0, rel=1e-9, abs=1e-12)
+
+
 # 7 quality
 
 
