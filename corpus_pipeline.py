@@ -1,7 +1,8 @@
 """A training corpus from `documents`, in five stages.
 
 toxicity            documents with a score of 0.7 or more go
-near_duplicates     of each group of near copies (SimHash) the document with the least doc_id stays
+near_duplicates     of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the
+                    document with the least doc_id stays
 decontamination     documents that hold an item of `benchmark`, up to a few edits, go
 personal_data       personal data is replaced by its kind in brackets
 pieces              what is left is encoded and decoded; returned are doc_id, n_tokens and two digests
@@ -9,14 +10,14 @@ pieces              what is left is encoded and decoded; returned are doc_id, n_
 Each stage works on all that the one before kept, and leaves every row's columns as they are (personal_data
 changes text and n_chars). Nulls in any column, empty and very long texts, ties, repeated rows, empty
 tables and further columns are handled as the operators' docstrings say; a stage never drops a row for them
-but for repeated rows, of which near_duplicates keeps one.
+but for near copies and repeated rows, of which near_duplicates keeps one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import common, decontam, pieces, pii, simhash, toxicity
+from graphloom.llm import common, decontam, near_copies, pieces, pii, toxicity
 from graphloom.scratch import Scratch
 
 
@@ -25,7 +26,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    return near_copies.deduplicated(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The stages one after another, on the small tables and on odd rows."""
 
+import random
+
 import corpus_pipeline as P
 from graphloom.llm import common, simhash
 
@@ -33,3 +35,34 @@ def test_one_document_of_each_group_stays(spark):
     docs = common.table(spark, SF, "documents")
     groups = simhash.classes(docs).select("component_id").distinct().count()
     assert P.without_near_duplicates(spark, docs, SF).count() == groups
+
+
+def test_near_copies_like_brute_force(spark):
+    r = random.Random(3)
+    base = [[f"w{r.randrange(5000)}" for _ in range(r.randint(30, 300))] for _ in range(40)]
+    texts = []
+    for b in base:
+        texts.append(b)
+        for _ in range(r.randint(0, 5)):
+            new = list(r.choice([b, texts[-1]]))
+            for _ in range(r.randint(1, 1 + len(b) // 60)):
+                new[r.randrange(len(new))] = "new"
+            texts.append(new)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = top(i), top(j)
+                parent[max(a, b)] = min(a, b)
+    want = sorted({top(i) for i in range(len(texts))})
+    assert len(want) < len(texts)
+    docs = spark.createDataFrame([(i, " ".join(t), "z") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = P.without_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(x["doc_id"] for x in got.collect()) == want
