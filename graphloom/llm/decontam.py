@@ -9,7 +9,8 @@ space as one space.
 The items go to the executors in blocks of BLOCK_CHARS characters at most, one pass over the documents
 for each block, so what is broadcast is bounded whatever the number of items.
 
-Null and empty texts hold no item; null and empty items are in no text. Items with equal text are
+Null and empty texts hold no item; null and empty items are in no text. An item without id is
+searched for as any other and reported with a null id. Items with equal text are
 reported each under its own id, repeated documents each in their own row. Of several passages of an item
 in a document the one with the least distance is reported, then the first. Empty tables give no rows.
 Other columns are kept or left unread, whatever their names.
@@ -124,12 +125,12 @@ class Matcher:
                 d = best_distance(masks, len(item), text[low:high])
                 if d <= edits and d < best.get(k, edits + 1):
                     best[k] = d
-        return sorted(({"item_id": i, "distance": d} for k, d in best.items() for i in self.ids[self.items[k][0]]), key=lambda h: (h["item_id"], h["distance"]))
+        return sorted(({"item_id": i, "distance": d} for k, d in best.items() for i in self.ids[self.items[k][0]]), key=lambda h: (h["item_id"] is None, h["item_id"] or 0, h["distance"]))
 
 
 def blocks(items: DataFrame, item_id: str, text: str, size: int) -> Iterator[list[tuple[int, str]]]:
     block, held = [], 0
-    for row in items.select(F.col(item_id), F.col(text)).where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).toLocalIterator():
+    for row in items.select(F.col(item_id), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator():
         block.append((row[0], row[1]))
         held += len(row[1])
         if held >= size:

@@ -152,6 +152,13 @@ def test_clean_keeps_the_rest(spark, odd):
 # 4 token counts
 
 
+def test_items_without_id_count(spark):
+    items = spark.createDataFrame([(None, "the one the two"), (4, "é😀 中文 +1"), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "see the one the two"), (2, "é😀 中文 +1"), (3, "clean")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.matches(docs, items).collect()) == [(1, None), (2, 4)]
+    assert [r["doc_id"] for r in decontam.clean(docs, items).collect()] == [3]
+
+
 def test_suffix_sums(spark):
     lengths = [0, 0, 3, 5, 5, 5000, 9000, 9000, 123456]
     hist = token_counts.histogram(spark.createDataFrame([(x,) for x in lengths], "n_tokens long"))
