@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.components import stars
 from ..scratch import cut
 from . import common as C
+from .near_copies import one_each
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: Shingles whose bits are counted at once.
@@ -160,17 +161,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, as they are: of each component the one with the least doc_id, once.
-
-    Of a component without ids one row stays, the one with the least text.
-    """
+    """The documents, as they are: of each component the one with the least (doc_id, text), once; null ids last."""
     prints = cut(fingerprints(docs, [doc_id], text))
-    found = cut(components(prints, doc_id))
-    stay = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(doc_id)).distinct()
-    kept = docs.join(stay, doc_id, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates([doc_id])
-    fp, root = C.fresh(docs, "fp"), C.fresh(docs, "root")
-    nameless = fingerprints(docs.where(F.col(doc_id).isNull()), docs.columns, text, fp)
-    nameless = nameless.join(found.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("root").alias(root)), fp)
-    whole = F.struct(F.col(text), *[F.col(f"`{c}`") for c in docs.columns if c != text])
-    one = nameless.groupBy(root).agg(F.min(whole).alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
-    return kept.unionByName(one)
+    least = prints.groupBy("fp").agg(F.min(doc_id).alias("least"))
+    rooted = least.join(components(prints, doc_id).select("fp", "root"), "fp")
+    fp = C.fresh(docs, "fp")
+    return one_each(docs, fingerprints(docs, docs.columns, text, fp), fp, rooted, doc_id, text)

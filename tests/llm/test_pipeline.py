@@ -66,3 +66,10 @@ def test_near_copies_like_brute_force(spark):
     docs = spark.createDataFrame([(i, " ".join(t), "z") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     got = P.without_near_duplicates(spark, docs, SF)
     assert got.columns == docs.columns and sorted(x["doc_id"] for x in got.collect()) == want
+
+
+def test_unlike_rows_with_one_id_both_stay(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(80)) for c in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (None, b)], "doc_id long, text string")
+    for stage in (lambda: simhash.deduplicated(docs), lambda: P.without_near_duplicates(spark, docs, SF)):
+        assert sorted((r["doc_id"], r["text"]) for r in stage().collect()) == [(1, a), (1, b)]
