@@ -1,257 +1,272 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are runs of 5 or 7 bytes within words (lower case, the space before a word counting as a byte), so
-that new words of a known stem still share terms. Of the terms of the labelled sample those that set toxic
-rows apart are the vocabulary. A document's vector is its TF-IDF over them; its neighbours are the K
-examples of greatest cosine, found exactly with a block-max inverted index: examples stand in blocks of
-BLOCK, every term knows its greatest weight in each block, and blocks are opened from the highest possible
-score down, until no block left can beat the K-th best. The neighbours vote with weights that fall with
-their distance; the votes, taken on the sample leaving each example out, are calibrated by isotonic
-regression. A document without any term of the vocabulary gets the share of toxic rows among such examples.
+Terms are the words of a text (lower case) and the first SIZES bytes of longer words, so that new words of a
+known stem still share terms. The vocabulary is every term that two rows of the labelled sample have. A
+document's vector is its TF-IDF over all of them, at length one. How alike two documents are is the cosine of
+their vectors, in which a term counts by its gain: the log of how many times as common it is among toxic
+rows, above FLOOR (tf.idf.rf, relevance weighting). A term without gain still counts in the lengths, so a
+single such word in a long text says little. Its K nearest toxic and its K nearest clean examples are found
+exactly with a block-max inverted index: examples stand in blocks of BLOCK, each of one class, every term knows
+its greatest weight in each block, and only blocks are opened whose highest possible score reaches the K-th
+best. The neighbours vote, each with its similarity, and isotonic regression turns votes into scores. It is
+fitted on votes taken out of fold: for each of FOLDS parts of the sample the vocabulary's weights and the index
+are made of the other parts.
 
 The sample is bounded: SAMPLE labelled rows by the hash of their ids (all if there are fewer), one for each
-id, of near-equal texts one for each label. Rows whose crc32(doc_id as text) mod 3 is 1 are held out. What
-is broadcast is bounded by SAMPLE and TERMS. Every text is scored whole, and nothing is shuffled but the
-sample and its term counts.
-
-Null and empty texts are scored as texts without terms. Ties in similarity go to the smaller id. Of several
-labels for one id the highest counts; label rows with nulls are ignored; without labelled rows every score
-is 0.5. A null doc_id is not held out. Repeated rows get equal scores; an empty table gives an empty
-result. Other columns are kept or left unread, whatever their names.
+id, one for each text and label, no text of over 1/64 of SAMPLE_BYTES, and SAMPLE_BYTES of text in all. Rows
+whose crc32(doc_id as text) mod 3 is 1 are held out. What is broadcast is bounded by SAMPLE_BYTES. Every text
+is scored whole, and nothing is shuffled but the sample.
+
+Null and empty texts are scored as texts without terms, by votes of zero. Ties in similarity go to the smaller
+id within a class. Of several labels for one id the highest counts; label rows with nulls are ignored; without
+labelled rows every score is 0.5. A null doc_id is not held out. Repeated rows get equal scores; an empty table
+gives an empty result. Other columns are kept or left unread, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from ..scratch import cut
 from . import common as C
-from .words import mixed
+from .words import PIECE, mixed, spans_hashed
 
-SIZES = (5, 7)
-SAMPLE, TERMS, K, BLOCK = 8192, 2048, 15, 64
-#: How many times as common a term must be among toxic rows.
-RATIO = 8.0
+SIZES = (4, 6)
+SAMPLE, SAMPLE_BYTES, K, BLOCK, FOLDS = 8192, 24 << 20, 15, 64, 10
+#: How many times as common among toxic rows a term must be to gain weight.
+FLOOR = 2.0
 THRESHOLD = 0.7
-_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
-#: Bytes that are handled at once.
-PIECE = 1 << 19
+_TABLE = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
 def terms(text: str) -> Iterator[np.ndarray]:
-    """The text's terms (uint64, with repeats), piece by piece; the pieces overlap by what a term needs."""
-    raw = b" " + text.encode("utf-8", "replace").translate(_TABLE)
-    for at in range(0, len(raw), PIECE):
-        data = np.frombuffer(raw[at : at + PIECE + max(SIZES) - 1], np.uint8).astype(np.uint64)
-        spaces = np.concatenate([[0], np.cumsum(data == 32)])
-        for size in SIZES:
-            n = min(len(data) - size + 1, PIECE)
-            if n <= 0:
-                continue
-            found = np.full(n, size, np.uint64)
-            for k in range(size):
-                found = found << np.uint64(8) | data[k : k + n]
-            yield found[spaces[size : size + n] == spaces[1 : 1 + n]]
+    """The text's terms (uint64, with repeats), piece by piece; pieces end at a space."""
+    raw = text.lower().encode("utf-8", "replace").translate(_TABLE)
+    at = 0
+    while at < len(raw):
+        stop = len(raw)
+        if stop - at > PIECE:
+            stop = raw.rfind(b" ", at, at + PIECE) + 1 or raw.find(b" ", at + PIECE) + 1 or len(raw)
+        data = np.frombuffer(raw[at:stop], np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], data != 32, [False]]).astype(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        if len(starts):
+            # of a long word its beginnings, told apart from words of the same letters
+            longer = [starts[ends - starts > k] for k in SIZES]
+            found = spans_hashed(data, np.concatenate([starts, *longer]), np.concatenate([ends, *(s + k for s, k in zip(longer, SIZES))]))
+            found[len(starts) :] = mixed(found[len(starts) :])
+            yield found
+        at = stop
+
+
+def term_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text's different terms, sorted, and how often each occurs."""
+    parts = list(terms(text))
+    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-class Lookup:
-    """Places of terms in the sorted vocabulary, through a table of bits that lets few others pass."""
-
-    def __init__(self, vocabulary: np.ndarray):
-        self.vocabulary = vocabulary
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self._slot(vocabulary)] = True
-
-    @staticmethod
-    def _slot(found: np.ndarray) -> np.ndarray:
-        return (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the text's terms, and how often each occurs."""
-        some = []
-        for found in terms(text):
-            found = found[self.bits[self._slot(found)]]
-            if len(found) and len(self.vocabulary):
-                at = np.searchsorted(self.vocabulary, found)
-                at[at == len(self.vocabulary)] = 0
-                some.append(at[self.vocabulary[at] == found])
-        return np.unique(np.concatenate(some), return_counts=True) if some else (np.empty(0, np.int64), np.empty(0, np.int64))
+def ragged(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """first[0] .. last[0]-1, first[1] .. last[1]-1, and so on."""
+    size = last - first
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples, by term and block; top() is exact."""
+    """Weights of examples by term; the postings of a term and block are a run that knows its greatest weight."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n, blocks = len(rows), -(-len(rows) // BLOCK)
-        self.row_of = np.full((max(n_terms, 1), max(blocks, 1)), -1, np.int32)
-        self.greatest = np.zeros(self.row_of.shape, np.float64)
-        lists: list[np.ndarray] = []
-        for i, (at, w) in enumerate(rows):
-            b = i // BLOCK
-            for t, x in zip(at.tolist(), w.tolist()):
-                if self.row_of[t, b] < 0:
-                    self.row_of[t, b] = len(lists)
-                    lists.append(np.zeros(BLOCK))
-                lists[self.row_of[t, b]][i % BLOCK] = x
-                self.greatest[t, b] = max(self.greatest[t, b], x)
-        self.lists = np.array(lists + [np.zeros(BLOCK)])  # the last row stands for a term that a block lacks
-
-    def top(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest positive cosine, best first, ties by number; `but` is left out."""
-        bound = w @ self.greatest[at]
-        order = np.argsort(-bound, kind="stable")
-        ids, scores, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for first in range(0, len(order), 4):
-            some = order[first : first + 4]
-            some = some[(bound[some] > 0) & (bound[some] >= least - 1e-9)]
-            if not len(some):
-                break
-            new = np.tensordot(w, self.lists[self.row_of[np.ix_(at, some)]], 1).ravel()
-            numbers = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            good = (new > 0) & (numbers != but)
-            ids, scores = np.concatenate([ids, numbers[good]]), np.concatenate([scores, new[good]])
+        self.n = len(rows)
+        self.blocks = -(-self.n // BLOCK)
+        number = np.repeat(np.arange(self.n), [len(a) for a, _ in rows]).astype(np.int32)
+        term = np.concatenate([np.empty(0, np.int64), *(a for a, _ in rows)]).astype(np.int64)
+        weight = np.concatenate([np.empty(0), *(w for _, w in rows)])
+        order = np.argsort(term, kind="stable")
+        self.number, self.weight, term = number[order], weight[order], term[order]
+        key = term * max(self.blocks, 1) + self.number // BLOCK
+        self.run = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
+        self.block = self.number[self.run[:-1]] // BLOCK
+        self.greatest = np.maximum.reduceat(self.weight, self.run[:-1]) if len(key) else np.empty(0)
+        self.runs_of = np.searchsorted(term[self.run[:-1]], np.arange(n_terms + 1))
+
+    def top(self, at: np.ndarray, w: np.ndarray, k: int, but: int = -1, parts: tuple[tuple[int, int], ...] | None = None):
+        """The k examples of greatest positive score, best first, ties by number; `but` is left out.
+
+        With parts (ranges of blocks), a list of the same for each part.
+        """
+        first, last = self.runs_of[at], self.runs_of[at + 1]
+        runs, share = ragged(first, last), np.repeat(w, last - first)
+        block = self.block[runs]
+        bound = np.bincount(block, share * self.greatest[runs], self.blocks)
+        found = [self._best(runs, share, block, bound, k, but, a, z) for a, z in (parts or ((0, self.blocks),))]
+        return found if parts else found[0]
+
+    def _best(self, runs: np.ndarray, share: np.ndarray, block: np.ndarray, bound: np.ndarray, k: int, but: int, a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+        likely = a + np.flatnonzero(bound[a:z] > 0)
+        likely = likely[np.argsort(-bound[likely], kind="stable")]
+        ids, scores, least, step = np.empty(0, np.int64), np.empty(0), 0.0, 2
+        while len(likely):
+            some, likely, step = likely[:step], likely[step:], step * 4
+            use = np.isin(block, some)
+            places = ragged(self.run[runs[use]], self.run[runs[use] + 1])
+            new = np.bincount(self.number[places], np.repeat(share[use], self.run[runs[use] + 1] - self.run[runs[use]]) * self.weight[places], self.n)
+            some = np.flatnonzero(new > 0)
+            some = some[some != but]
+            ids, scores = np.concatenate([ids, some]), np.concatenate([scores, new[some]])
             best = np.lexsort((ids, -np.round(scores, 9)))[:k]
             ids, scores = ids[best], scores[best]
             least = scores[-1] if len(scores) == k else 0.0
+            likely = likely[bound[likely] >= least - 1e-9]
         return ids, scores
 
 
 @dataclass
-class Model:
-    vocabulary: np.ndarray
+class Weights:
+    """What the terms of the vocabulary weigh; made of any rows of the sample."""
+
     idf: np.ndarray
-    index: BlockMaxIndex
-    toxic: np.ndarray
-    ids: np.ndarray
-    prior: float
-    without: float
-    steps: np.ndarray
-    values: np.ndarray
+    gain: np.ndarray
 
-    def vector(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def of(at: list[np.ndarray], toxic: np.ndarray, size: int) -> Weights:
+        every, bad = (np.bincount(np.concatenate([np.empty(0, np.int64), *rows]), minlength=size) for rows in (at, [a for a, y in zip(at, toxic) if y]))
+        n, n_bad = len(at), int(toxic.sum())
+        ratio = ((bad + 0.5) / (n_bad + 1)) / ((every - bad + 0.5) / (n - n_bad + 1))
+        return Weights(np.maximum(np.log((n + 1) / (every + 0.5)), 0), np.where(bad >= 2, np.maximum(np.log(ratio / FLOOR), 0), 0.0))
+
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms that gain, and their TF-IDF weights in the vector of length one over all terms."""
         w = (1 + np.log(n)) * self.idf[at]
-        return w / np.linalg.norm(w)
-
-    def vote(self, at: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        ids, similar = self.index.top(at, w, K, but)
-        weight = 1 / (1.05 - np.minimum(similar, 1))
-        return (float(weight @ self.toxic[ids]) + self.prior) / (float(weight.sum()) + 1), ids, similar
-
-    def score(self, text: str, lookup: Lookup) -> tuple[float, str]:
-        """A calibrated score, and the nearest examples as id:similarity, comma-joined."""
-        at, n = lookup.counts(text)
+        length, use = np.sqrt(w @ w), self.gain[at] > 0
+        return at[use], w[use] / (length or 1.0)
+
+
+class Neighbours:
+    """An index over examples, toxic ones first; each class begins a block."""
+
+    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, size: int):
+        self.weights = Weights.of([a for a, _ in examples], toxic, size)
+        bad, good = np.flatnonzero(toxic), np.flatnonzero(~toxic)
+        gap = -len(bad) % BLOCK
+        #: The example behind each number of the index; between the classes are empty ones.
+        self.order = np.concatenate([bad, np.full(gap, -1), good]).astype(np.int64)
+        none = (np.empty(0, np.int64), np.empty(0))
+        self.index = BlockMaxIndex([self.weights.vector(*examples[i]) if i >= 0 else none for i in self.order.tolist()], size)
+        self.middle = (len(bad) + gap) // BLOCK
+
+    def vote(self, at: np.ndarray, n: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
+        """The neighbours' vote, and the neighbours (example, similarity) of either class."""
+        at, w = self.weights.vector(at, n)
         if not len(at):
-            return self.without, ""
-        raw, ids, similar = self.vote(at, self.vector(at, n))
-        evidence = ",".join(f"{self.ids[i]}:{s:.3f}" for i, s in zip(ids[:3].tolist(), similar[:3].tolist()))
-        return float(np.interp(raw, self.steps, self.values)), evidence
+            return 0.0, []
+        sides = self.index.top(at, w * self.weights.gain[at], K, parts=((0, self.middle), (self.middle, self.index.blocks)))
+        near = [(int(self.order[i]), float(s)) for ids, scores in sides for i, s in zip(ids, scores)]
+        return (float(sides[0][1].sum()) - float(sides[1][1].sum())) / K, near
+
 
+def isotonic(x: np.ndarray, y: np.ndarray, prior: float = 0.0, strength: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rising steps that fit y best (pool adjacent violators), as points at both ends of each pool.
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising steps that fit y best (pool adjacent violators); one point for the middle of each."""
-    pools: list[list[float]] = []  # sum of y, of x, count
+    With `strength`, a pool leans to `prior` as if it had so many rows more.
+    """
+    pools: list[list[float]] = []  # sum of y, count, least x, greatest x
     for k in np.argsort(x, kind="stable"):
-        pools.append([float(y[k]), float(x[k]), 1.0])
-        while len(pools) > 1 and pools[-2][0] / pools[-2][2] >= pools[-1][0] / pools[-1][2]:
+        pools.append([float(y[k]), 1.0, float(x[k]), float(x[k])])
+        while len(pools) > 1 and (pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1] or pools[-2][3] == pools[-1][2]):
             last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    return np.array([p[1] / p[2] for p in pools]), np.array([p[0] / p[2] for p in pools])
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
+    value = np.maximum.accumulate([(p[0] + prior * strength) / (p[1] + strength) for p in pools])
+    return np.array([e for p in pools for e in p[2:]]), np.repeat(value, 2)
+
+
+@dataclass
+class Model:
+    vocabulary: np.ndarray
+    near: Neighbours | None
+    ids: list
+    steps: np.ndarray
+    values: np.ndarray
+
+    def score(self, text: str) -> tuple[float, str]:
+        """A calibrated score, and the nearest examples as id:similarity, comma-joined."""
+        if self.near is None:
+            return float(self.values[0]), ""
+        vote, near = self.near.vote(*placed(self.vocabulary, *term_counts(text)))
+        near = sorted(near, key=lambda p: (-round(p[1], 9), p[0]))[:3]
+        return float(np.interp(vote, self.steps, self.values)), ",".join(f"{self.ids[i]}:{s:.3f}" for i, s in near)
+
 
+def placed(vocabulary: np.ndarray, found: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted vocabulary of the terms that it has, and their counts."""
+    if not len(vocabulary):
+        return np.empty(0, np.int64), np.empty(0)
+    at = np.searchsorted(vocabulary, found)
+    at[at == len(vocabulary)] = 0
+    known = vocabulary[at] == found
+    return at[known], n[known].astype(np.float64)
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, sample: int) -> DataFrame:
-    """id, toxic, text: at most `sample` rows that aren't held out, in the shared folder."""
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, sample: int, sample_bytes: int) -> DataFrame:
+    """id, toxic, text: at most `sample` rows that aren't held out, and `sample_bytes` of text."""
     use = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isNotNull() & ~held_out(F.col(doc_id)))
     chosen = use.groupBy(F.col(doc_id).alias("id")).agg(F.max(toxic).cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    rows = rows.where(F.octet_length("text") <= sample_bytes // 64).join(F.broadcast(chosen), "id")
+    rows = cut(rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).groupBy("text", "toxic").agg(F.min("id").alias("id")))
+    # a row of numbers for each sampled document, so one task can add them up
+    held = F.sum("size").over(W.orderBy(F.xxhash64("id"), "id").rowsBetween(W.unboundedPreceding, 0))
+    fits = rows.select("id", F.octet_length("text").alias("size")).select("id", held.alias("held"))
+    return rows.join(F.broadcast(fits.where(F.col("held") <= sample_bytes).select("id")), "id", "left_semi")
 
-    def make() -> Callable[[list[str]], dict[str, list]]:
-        def least(t: str) -> int:
-            return min((int(mixed(x).min()) for x in terms(t) if len(x)), default=0) >> 1
-
-        return lambda texts: {"least": [least(t) for t in texts]}
-
-    found = C.map_texts(rows, ["id", "toxic", "text"], "text", make, C.struct(least=C.LONG))
-    # near copies nearly always share the least hash of their terms
-    return cut(found.groupBy("least", "toxic").agg(F.min_by(F.struct("id", "text"), "id").alias("one")).select("one.id", "toxic", "one.text"))
-
-
-def vocabulary(rows: DataFrame, n_terms: int) -> np.ndarray:
-    """The terms that set toxic rows apart best, by likelihood ratio; sorted."""
-    numbers = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    toxic, clean = numbers.get(1, 0), numbers.get(0, 0)
-    if not toxic:
-        return np.empty(0, np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def summed(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-            both = [np.concatenate([p for p, y in parts if y == k] or [np.empty(0, np.uint64)]) for k in (0, 1)]
-            every, back = np.unique(np.concatenate(both), return_inverse=True)
-            n = [np.bincount(b, minlength=len(every)) for b in (back[: len(both[0])], back[len(both[0]) :])]
-            return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(n[1]), pa.array(n[0])], names=["term", "t", "c"])
-
-        parts, held = [], 0
-        for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.unique(np.concatenate(list(terms(text)) or [np.empty(0, np.uint64)]))
-                parts.append((own, y))
-                held += len(own)
-                if held > 2_000_000:
-                    yield summed(parts)
-                    parts, held = [], 0
-        if parts:
-            yield summed(parts)
-
-    C.small_batches(rows.sparkSession)
-    counted = rows.select("toxic", "text").mapInArrow(run, "term long, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    t, c = F.col("t"), F.col("c")
-    gain = t * F.log(((t + 0.5) / (toxic + 1)) / ((c + 0.5) / (clean + 1)))
-    least = max(2, math.ceil(0.004 * toxic))
-    best = counted.where((t >= least) & ((t + 0.5) / (toxic + 1) >= RATIO * (c + 0.5) / (clean + 1))).orderBy(gain.desc(), "term").limit(n_terms)
-    return np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int64).view(np.uint64))
-
-
-def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE, n_terms: int = TERMS) -> Model:
-    rows = labelled_sample(docs, labels, doc_id, text, toxic, sample)
-    words = vocabulary(rows, n_terms)
-    sent = docs.sparkSession.sparkContext.broadcast(words)
 
-    def make() -> Callable[[list[str]], dict[str, list]]:
-        lookup = Lookup(sent.value)
+def examples(rows: DataFrame) -> list[tuple]:
+    """id, toxic, terms, counts of the sample's rows, by id."""
 
+    def make() -> Callable[[list[str]], dict[str, list]]:
         def work(texts: list[str]) -> dict[str, list]:
-            found = [lookup.counts(t) for t in texts]
-            return {"at": [a.tolist() for a, _ in found], "n": [n.tolist() for _, n in found]}
+            found = [term_counts(t) for t in texts]
+            return {"terms": [a.tobytes() for a, _ in found], "n": [n.astype(np.uint32).tobytes() for _, n in found]}
 
         return work
 
-    counts = C.map_texts(rows, ["id", "toxic"], "text", make, C.struct(at=T.ArrayType(C.LONG), n=T.ArrayType(C.LONG)))
-    examples = sorted(((r["id"], r["toxic"], np.array(r["at"], np.int64), np.array(r["n"], np.float64)) for r in counts.collect()), key=lambda r: r[0])
-    y = np.array([e[1] for e in examples], float)
-    prior = float(y.mean()) if len(y) else 0.5
-    full = [e for e in examples if len(e[2])]
-    empty = [e[1] for e in examples if not len(e[2])]
-    df = np.bincount(np.concatenate([e[2] for e in full]) if full else np.empty(0, np.int64), minlength=len(words))
-    model = Model(words, np.log((1 + len(examples)) / (1 + df)) + 1, None, np.array([e[1] for e in full], float), np.array([e[0] for e in full]), prior,
-                  (sum(empty) + prior) / (len(empty) + 1), np.zeros(1), np.full(1, prior))
-    vectors = [(e[2], model.vector(e[2], e[3])) for e in full]
-    model.index = BlockMaxIndex(vectors, len(words))
-    if full:
-        votes = np.array([model.vote(at, w, i)[0] for i, (at, w) in enumerate(vectors)])
-        model.steps, model.values = isotonic(votes, model.toxic)
-    return model
+    table = C.map_texts(rows, ["id", "toxic"], "text", make, C.struct(terms=C.BINARY, n=C.BINARY)).toArrow()
+    columns = [table.column(c).to_pylist() for c in ("id", "toxic", "terms", "n")]
+    return sorted(((i, y, np.frombuffer(t, np.uint64), np.frombuffer(n, np.uint32)) for i, y, t, n in zip(*columns)), key=lambda e: e[0])
+
+
+def fitted(sample: list[tuple]) -> Model:
+    """The model of a labelled sample (id, toxic, terms, counts)."""
+    if not sample:
+        return Model(np.empty(0, np.uint64), None, [], np.zeros(1), np.full(1, 0.5))
+    every = np.sort(np.concatenate([e[2] for e in sample]))
+    vocabulary = every[1:][every[1:] == every[:-1]]
+    vocabulary = vocabulary[np.append(True, vocabulary[1:] != vocabulary[:-1])] if len(vocabulary) else vocabulary
+    rows = [placed(vocabulary, t, n) for _, _, t, n in sample]
+    toxic = np.array([e[1] > 0 for e in sample])
+    fold = mixed(np.array([crc32(str(e[0]).encode()) for e in sample], np.uint64)) % np.uint64(FOLDS)
+    votes = np.zeros(len(rows))
+    for k in range(FOLDS):
+        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if len(own) and len(rest):
+            others = Neighbours([rows[i] for i in rest], toxic[rest], len(vocabulary))
+            votes[own] = [others.vote(*rows[i])[0] for i in own]
+    steps, values = isotonic(votes, toxic.astype(float), float(toxic.mean()), 1.0)
+    return Model(vocabulary, Neighbours(rows, toxic, len(vocabulary)), [e[0] for e in sample], steps, values)
+
+
+def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    return fitted(examples(labelled_sample(docs, labels, doc_id, text, toxic, sample, sample_bytes)))
 
 
 def scored(docs: DataFrame, carry: list[str], model: Model, text: str = "text", score: str = "score", evidence: str = "evidence") -> DataFrame:
@@ -260,10 +275,9 @@ def scored(docs: DataFrame, carry: list[str], model: Model, text: str = "text",
 
     def make() -> Callable[[list[str]], dict[str, list]]:
         m = sent.value
-        lookup = Lookup(m.vocabulary)
 
         def work(texts: list[str]) -> dict[str, list]:
-            found = [m.score(t, lookup) for t in texts]
+            found = [m.score(t) for t in texts]
             return {score: [a for a, _ in found], evidence: [b for _, b in found]}
 
         return work

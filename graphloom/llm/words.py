@@ -30,7 +30,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def _of_piece(data: np.ndarray) -> np.ndarray:
     word = ~_IS_SPACE[data]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
+    return spans_hashed(data, edges[::2], edges[1::2])
+
+
+def spans_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash (uint64) for the bytes of each span; it depends on the bytes alone."""
     if not len(starts):
         return np.empty(0, np.uint64)
     power, inverse = _powers(len(data))

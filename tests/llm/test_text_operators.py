@@ -203,8 +203,72 @@ def test_block_max_index_is_exact():
 
 
 def test_isotonic_rises():
-    _, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0, 1, 0, 1, 1]))
-    assert (np.diff(y) >= 0).all() and y[0] == 0 and y[-1] == 1
+    x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0, 1, 0, 1, 1]))
+    assert x.tolist() == [0.1, 0.1, 0.2, 0.3, 0.4, 0.5] and y.tolist() == [0, 0, 0.5, 0.5, 1, 1]
+    assert toxicity.isotonic(np.zeros(4), np.array([0, 1, 0, 1]), 0.5, 1)[1].tolist() == [0.5, 0.5]
+
+
+def plain_terms(text):
+    own = Counter()
+    for w in re.findall(rb"[a-z0-9\x80-\xff]+", text.lower().encode()):
+        own.update([(0, w), *((k, w[:k]) for k in (4, 6) if len(w) > k)])
+    return own
+
+
+def plain_vote(sample, text):
+    """The vote by dictionaries: all terms that two rows have, cosines of every example."""
+    rows = [(plain_terms(t), y) for t, y in sample]
+    df, bad = (Counter(w for c, y in rows if y or not only for w in c) for only in (False, True))
+    n, n_bad = len(rows), sum(y for _, y in rows)
+    idf = {w: max(np.log((n + 1) / (d + 0.5)), 0) for w, d in df.items() if d > 1}
+    gain = {w: max(np.log((bad[w] + 0.5) / (n_bad + 1) / ((df[w] - bad[w] + 0.5) / (n - n_bad + 1)) / 2), 0) if bad[w] > 1 else 0 for w in idf}
+
+    def unit(c):
+        v = {w: (1 + np.log(k)) * idf[w] for w, k in c.items() if w in idf}
+        length = sum(x * x for x in v.values()) ** 0.5 or 1
+        return {w: x / length for w, x in v.items()}
+
+    own, cosines = unit(plain_terms(text)), ([], [])
+    for c, y in rows:
+        other = unit(c)
+        cosines[y].append(sum(x * other.get(w, 0) * gain[w] for w, x in own.items()))
+    return (sum(sorted(cosines[1])[-15:]) - sum(sorted(cosines[0])[-15:])) / 15
+
+
+def test_votes_like_plain_cosines(monkeypatch):
+    r = random.Random(4)
+    word = lambda bad: r.choice(["drubzik", "drubzikovic", "Vexé", "the"] if r.random() < bad else ["the", "and", "é", "x1"]) if r.random() < 0.6 else "".join(r.choice("abcde") for _ in range(r.randint(1, 8)))
+    texts = [(" ".join(word(0.4 * (i % 3 == 0)) for _ in range(r.randint(0, 60))) + r.choice(["", "!", "\n"]), int(i % 3 == 0)) for i in range(240)]
+    model = toxicity.fitted([(i, y, *toxicity.term_counts(t)) for i, (t, y) in enumerate(texts[:200])])
+    some = [toxicity.term_counts(t) for t, _ in texts[200:]]
+    for (t, _), found in zip(texts[200:], some):
+        assert model.near.vote(*toxicity.placed(model.vocabulary, *found))[0] == pytest.approx(plain_vote(texts[:200], t), abs=1e-12)
+    assert sum(abs(plain_vote(texts[:200], t)) > 1e-3 for t, _ in texts[200:]) > 20
+    from graphloom.llm import words
+
+    monkeypatch.setattr(toxicity, "PIECE", 16)
+    assert all((toxicity.term_counts(t)[0].tolist(), toxicity.term_counts(t)[1].tolist()) == (a.tolist(), n.tolist()) for (t, _), (a, n) in zip(texts[200:], some))
+    assert words.PIECE > 16
+
+
+@pytest.mark.parametrize("sf, recall", [("sf0.01", 0.8), ("sf0.1", 0.9)])
+def test_toxicity_of_the_supplied_tables(spark, sf, recall):
+    """Some 5 % of the rows labelled toxic hold nothing that others of them hold, so recall is bounded."""
+    folder = f"/root/testdata/{sf}"
+    said = common.table(spark, folder, "labels")
+    found = toxicity.digest(common.table(spark, folder, "documents"), said).where("held_out").join(said, "doc_id")
+    bad, caught, good, flagged = found.select(F.sum("toxic"), F.sum(F.col("toxic") * F.col("predicted")), F.sum(1 - F.col("toxic")), F.sum((1 - F.col("toxic")) * F.col("predicted"))).first()
+    assert caught >= recall * bad and flagged <= 0.02 * good, (bad, caught, good, flagged)
+
+
+def test_the_labelled_sample(spark):
+    """One row for each id and text, the highest label, no long text, and no more text than allowed."""
+    docs = spark.createDataFrame([(i, f"text {i % 50} " + "x" * (i % 7)) for i in range(400)] + [(1000, "y" * 500), (7, "again")], "doc_id long, text string")
+    said = spark.createDataFrame([(i, i % 2) for i in [*range(400), 1000]] + [(2, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(docs, said, "doc_id", "text", "toxic", 100, 64 * 100).collect()
+    assert len({(r["text"], r["toxic"]) for r in rows}) == len(rows) == len({r["id"] for r in rows}) > 50 and max(len(r["text"]) for r in rows) <= 100
+    few = toxicity.labelled_sample(docs, said, "doc_id", "text", "toxic", 100, 64 * 20).collect()
+    assert 0 < sum(len(r["text"]) for r in few) <= 64 * 20 and {r["id"] for r in few} <= {r["id"] for r in toxicity.labelled_sample(docs, said, "doc_id", "text", "toxic", 100, 64 * 100).collect()} | {r["id"] for r in few}
 
 
 def test_toxicity_on_held_out_rows(spark):
