@@ -108,6 +108,75 @@ def test_stretches_surge_and_dive():
     assert html_text.stretches([], 3) == [] and html_text.stretches([0, 0], 3) == []
 
 
+LINE = "A long sentence of the article that goes on for a while."
+PAGES = [
+    (f"<script><!-- x </script><article><p>{LINE}</article>", LINE),
+    (f"<article><p>{LINE} one</article><div>x</div><article><p>{LINE} two and more</p></article>", f"{LINE} one\n{LINE} two and more"),
+    (f"<div><p>{LINE} 1</p><p>{LINE} 2</p><ul><li><a>rel 1</a><li><a>rel 2</a><li><a>rel 3</a></ul><p>{LINE} 3</p></div>", f"{LINE} 1\n{LINE} 2\n{LINE} 3"),
+    (f"<nav><ul><li><a>a</a><main><p>{LINE}</p></main>", LINE),
+    (f"<nav><a>a</a><article><p>{LINE}</p></article>", LINE),
+    (f'<div class="story notice"><p>{LINE}</p></div>', LINE),
+    (f'<article class="story notice"><p>{LINE}</p></article>', LINE),
+    (f'<article><p>{LINE}</p><div id="ad-free-reading"><p>{LINE} b</p></div></article>', f"{LINE}\n{LINE} b"),
+    (f'<article><div class="article-header"><h1>Head</h1></div><p>{LINE}</p></article>', f"Head\n{LINE}"),
+    (f"<article><h1>T</h1><p>{LINE}</p></article><h3>Comments (2)</h3><div><p>Nice one, this is a comment that goes on.</p></div>", f"T\n{LINE}"),
+    (f"<div><h1>T</h1><p>{LINE}</p><h3>2 Comments</h3><div><p>Nice one, this is a comment that goes on.</p></div></div><footer>x</footer>", f"T\n{LINE}"),
+    (f"<article><h1>T</h1><p>{LINE}</p><h3>Comments</h3><div><p>Nice one</p></div><h2>Next</h2><p>{LINE} z</p></article>", f"T\n{LINE}\nNext\n{LINE} z"),
+    (f"<div><a>Home</a> | <a>About</a> | <a>C</a></div><div><h1>T</h1><p>{LINE}</p><p>Short.</p></div><div>© 2024 The site</div><div><a>x</a> <a>y</a></div>", f"T\n{LINE}\nShort."),
+    (f"<article><h1><a href=x>Title</a></h1><p>{LINE}</p><p>***</p></article>", f"Title\n{LINE}\n***"),
+    (f'<article><p>{LINE}</p></article><div class="comment-list"><p>{LINE} c</p></div>', LINE),
+    (f"<p>{LINE}</p>" * 10 + "<article><a>Teaser</a> x</article>", "\n".join([LINE] * 10 + ["Teaser x"])),
+    (f"<main><article><p>{LINE}</p></article><p>around</p></main>", LINE),
+    (f"<article><p>{LINE}</p><p><a>See this</a></p><p>{LINE} 2</p></article>", f"{LINE}\nSee this\n{LINE} 2"),
+    (f"<article><p>{LINE}</p><section id=comments><article class=comment><p>{LINE} c</p></article></section></article>", LINE),
+    (f"<html><head><title>T<body><p>{LINE}", LINE),
+]
+
+
+@pytest.mark.parametrize("page, text", PAGES)
+def test_main_text_of_hard_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_stretches_like_brute_force():
+    r = random.Random(7)
+    for _ in range(500):
+        w, window = [r.choice([0, 0, 0, 1, 9]) for _ in range(r.randint(0, 25))], r.randint(1, 4)
+        weighs = [k for k, x in enumerate(w) if x]
+        parts = []
+        for k in weighs:
+            if parts and not any(sum(w[s : s + window]) == 0 for s in range(parts[-1][-1] + 1, k - window + 1)):
+                parts[-1].append(k)
+            else:
+                parts.append([k])
+        found = html_text.stretches(w, window)
+        assert [[k for k in range(a, b) if w[k]] for a, b in found] == parts and all(w[a] for a, _ in found)
+        assert html_text.peak(w, window) == max((sum(w[s : s + window]) for s in range(len(w))), default=0)
+
+
+def test_main_text_of_the_supplied_pages(spark):
+    """Whole articles by the template of these pages, with the classes and ids and without them."""
+    from html import unescape
+
+    pages = common.table(spark, SF, "pages")
+    bare = pages.withColumn("html", F.regexp_replace("html", r'\s(?:class|id)="[^"]*"', ""))
+    for found in (html_text.extracted(pages, ["html", "page_id"]), html_text.extracted(bare, ["html", "page_id"])):
+        for row in found.collect():
+            article = re.search("<article>(.*)</article>", row["html"], re.S)[1]
+            blocks = [" ".join(unescape(re.sub("</?b>", "", x)).split()) for x in re.split("</?(?:p|h1)>|<br>", article)]
+            assert row["text"] == "\n".join(filter(None, blocks)) and row["n_chars"] == len(row["text"])
+
+
+def test_main_text_of_odd_rows(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int, read string"
+    rows = [(1, None, None, "t", 1, "r"), (None, "u", "", None, None, None), (2, "u", f"<p>{LINE}", "t", 1, "r"), (2, "u", f"<p>{LINE}", "t", 1, "r"), (3, "u", "<p>" + LONG, "t", 1, "r")]
+    pages = spark.createDataFrame(rows, schema)
+    found = html_text.extracted(pages, ["page_id", "url"]).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in found) == [(0, "", 0), (1, "", 0), (2, LINE, len(LINE)), (2, LINE, len(LINE)), (3, LONG.strip(), len(LONG) - 1)]
+    assert html_text.extracted(pages, pages.columns, text="main", n_chars="size").columns == [*pages.columns, "main", "size"]
+    assert html_text.extracted(pages.limit(0), ["page_id"]).count() == 0
+
+
 # 3 decontamination
 
 
