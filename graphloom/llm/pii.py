@@ -1,33 +1,40 @@
 """Personal data in texts: patterns, and spans that weakly supervised labelers add.
 
-Base spans are the leftmost matches of each kind's pattern that pass its check. A looser pattern for each
-kind then proposes more candidates outside of them. Labelers vote on every candidate (1 for, -1 against,
-0 abstains): the pattern itself, a check of its digits or parts, a gazetteer, words before it that speak
-for the kind, and signs before it that speak against. Nobody knows the truth, so expectation-maximisation
-over the votes of the whole corpus estimates how reliable each labeler is for each kind (Dawid and Skene
-1979). The posteriors then train the final classifier, naive Bayes over votes and shape, which decides on
-every loose candidate.
+Base spans are the leftmost matches of each kind's pattern that pass its check. Matches that fail it, and
+the matches of a looser pattern for each kind outside of all these, are candidates too. Labelers vote on every
+candidate (1 for, -1 against, 0 abstains): the base pattern, a check of its digits or parts, a gazetteer, words before
+it that speak for the kind, and signs before it that speak against (up to CONTEXT characters, after the candidate
+before it). Nobody knows the truth, so expectation-maximisation over the votes of the whole corpus estimates how
+reliable each labeler is for each kind (Dawid and Skene 1979). The posteriors then train the final classifier, naive
+Bayes over votes and shape, which decides on every candidate that is no base span; those that fail the check
+of their kind are never added.
 
 Everything that sees rows is built of column expressions. The driver gets one row for each combination of
-kind, votes and shape (at most 4 * 3**5 * 2**3), whatever the corpus.
+kind, votes and shape (at most 4 * 2 * 3**5 * 2**3), whatever the corpus. Texts are searched once; the candidates are kept
+in the shared folder while the classifier is trained.
 
 The patterns are written without nested repeats, so that they take time in proportion to the text and no
 stack: separators between digits, and dots between parts of a name, are marked first by single characters.
-A private-use mark that a text holds already is put out of the way, one character for one.
+A private-use mark that a text holds already is put out of the way, one character for one. Places come from the lengths
+of matches and of the gaps between them, never by walking a text from its start for each span.
 
-Null and empty texts have no spans. Places are counted in code points. Rows are independent once the
-classifier is trained: equal rows give equal results, an empty table gives an empty result, and columns
-not named in the call are left alone whatever their names.
+Null and empty texts have no spans (a null text stays null when redacted). Places are counted in code points. Of
+equal places in several kinds (ties) each stands under its own kind. Rows are independent once the classifier is
+trained: equal rows give equal results, an empty table gives an empty result, and columns not named in the call are
+left alone whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 KINDS = ("email", "ip", "card", "phone")
 MARK, DOT, FILL, AWAY = "", "", "", ""
 LOCAL = f"A-Za-z0-9._%+{DOT}-"
@@ -42,12 +49,12 @@ BASE = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][ -]?){15}[0-9]", "phone": "+"}
 LOOSE = {
     "email": r"[A-Za-z0-9_%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63} ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[A-Za-z]{2,24}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
+    "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9])(?:3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,4})(?![0-9])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
 }
 #: Short patterns that a text must hold for the loose ones to match; they are quick to rule out.
-LOOSE_NEEDS = {"email": r"[\[(](?:at|AT)[\])]", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "3[47][0-9]{2}[ -]?[0-9]{6}", "phone": "[0-9][.-][0-9]{4}"}
+LOOSE_NEEDS = {"email": r"[\[(](?:at|AT)[\])]", "ip": "[0-9A-Fa-f]::?[0-9A-Fa-f]", "card": "[0-9]{4}[ .-]?[0-9]{4}", "phone": "[0-9][.-][0-9]{4}"}
 #: Words before a candidate, and signs right before it.
 FOR = {
     "email": r"(?i)mail|contact|write|reach|kontakt|correo|courriel",
@@ -62,32 +69,42 @@ GAZETTEER = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|30|36|38|6)",
     "phone": r"^(?:\+[1-9]|\(?[2-9])",
 }
+#: Of matches of the base patterns with fewer digits nobody needs to vote.
+LEAST_DIGITS, LONGEST = {"card": 13, "phone": 7}, 32
 VOTES = ("pattern", "check", "gazetteer", "context", "signs")
 SHAPES = ("spaced", "long", "line_start")
 CONTEXT = 40
-BLOCK = 256
+#: Elements of an array, and characters of a text, that are handled at once.
+BLOCK, CHUNK = 256, 1024
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once, however often the body (or a function in it) asks for it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _prefix_sums(values: Column) -> Column:
-    """The sum before each element; in blocks, so that no long array is copied for each element."""
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / BLOCK).cast("int") - 1), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
-    grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-    inner = F.transform(blocks, lambda b: F.aggregate(b, F.array(F.lit(0).cast("long")), grow))
-    before = F.aggregate(F.transform(inner, lambda b: F.element_at(b, -1)), F.array(F.lit(0).cast("long")), grow)
-    moved = F.zip_with(F.slice(before, F.lit(1), F.size(inner)), inner, lambda o, b: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda v: v + o))
-    return F.flatten(moved)
+def _scan(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What `join` makes of 0 and the elements before each element; in blocks, so that no long array is copied for each element."""
+    zero = F.array(F.lit(0).cast("long"))
+    grow = lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x)))
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / BLOCK).cast("int") - 1), lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
+    sums = lambda v: F.transform(blocks(v), lambda b: F.aggregate(b, zero, grow))
+    before = lambda own: F.slice(F.aggregate(F.transform(own, lambda b: F.element_at(b, -1)), zero, grow), F.lit(1), F.size(own))
+    moved = lambda own: F.flatten(F.zip_with(before(own), own, lambda o, b: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: join(x, o))))
+    return _let(values, lambda v: _let(sums(v), moved))
 
 
 def _spans(text: Column, pattern: str) -> Column:
-    """Of all matches: start, end (long, code points) and the matching string."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("n"), m.alias("m")))
-    sums = lambda s: F.zip_with(s, _prefix_sums(F.transform(s, lambda x: x["g"] + x["n"])), lambda x, o: F.struct((o + x["g"]).alias("start"), (o + x["g"] + x["n"]).alias("end"), x["m"].alias("m")))
-    return F.when(F.size(steps) > 0, sums(steps)).otherwise(_none())
+    """Of all matches: start, end (long, code points), the matching string, and up to CONTEXT characters between it and the match before."""
+    gap = lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("n"), m.alias("m"), F.right(g, F.lit(CONTEXT)).alias("before"))
+    steps = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, gap))
+    place = lambda x, o: F.struct((o + x["g"]).alias("start"), (o + x["g"] + x["n"]).alias("end"), x["m"].alias("m"), x["before"].alias("before"))
+    whole = lambda s: F.zip_with(s, _scan(F.transform(s, lambda x: x["g"] + x["n"]), lambda a, b: a + b), place)
+    return _let(steps, lambda s: F.when(F.size(s) > 0, whole(s)).otherwise(_none()))
 
 
 def _none() -> Column:
-    return F.from_json(F.lit("[]"), "array<struct<start:long,end:long,m:string>>")
+    return F.from_json(F.lit("[]"), "array<struct<start:long,end:long,m:string,before:string>>")
 
 
 def _digits(m: Column) -> Column:
@@ -95,15 +112,11 @@ def _digits(m: Column) -> Column:
 
 
 def _luhn(digits: Column) -> Column:
-    n = F.length(digits)
-    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    total = F.aggregate(places, F.lit(0), lambda acc, k: acc + _luhn_digit(digits, n, k))
-    return (n > 0) & (total % 10 == 0)
-
-
-def _luhn_digit(digits: Column, n: Column, k: Column) -> Column:
-    d = F.coalesce(F.substring(digits, k, F.lit(1)).try_cast("int"), F.lit(0))
-    return F.when((n - k) % 2 == 1, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
+    """Of at most LONGEST digits; more are no card number."""
+    code = F.split(F.reverse(digits), "(?!$)")
+    double = lambda d: F.when(d > 4, d * 2 - 9).otherwise(d * 2)
+    added = lambda c: F.aggregate(F.transform(c, lambda x, k: F.when(k % 2 == 1, double(x.try_cast("int"))).otherwise(x.try_cast("int"))), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
+    return (F.length(digits) > 0) & (F.length(digits) <= LONGEST) & (added(code) % 10 == 0)
 
 
 def _passes(kind: str, m: Column) -> Column:
@@ -112,8 +125,7 @@ def _passes(kind: str, m: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(m, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3) & F.forall(
             F.split(m, r"\."), lambda p: F.coalesce(F.right(p, F.lit(3)).try_cast("int"), F.lit(0)) <= 255)
-    n = F.length(_digits(m))
-    return (n >= 16) & (n <= 19) & _luhn(_digits(m)) if kind == "card" else (n >= 8) & (n <= 15)
+    return _let(_digits(m), lambda d: F.length(d).between(16, 19) & _luhn(d) if kind == "card" else F.length(d).between(8, 15))
 
 
 def _prepared(text: Column) -> Column:
@@ -132,37 +144,44 @@ def _masked(text: Column, pattern: str) -> Column:
     return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.repeat(F.lit(FILL), F.length(m)), F.lit("")))), "")
 
 
-def _candidates(docs: DataFrame, text: str) -> DataFrame:
-    """row, text, and for each kind base_ (passing spans) and loose_ (other candidates)."""
-    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _prepared(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("text"))
+def _candidates(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
+    """The `carry` columns in a struct `row`, and spans: every candidate's kind, place, whether it's a base span, votes and shape."""
+    kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.lit(0).alias("none"))
+    step = docs.select(kept.alias("row"), _prepared(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("text"))
     needs = {k: (F.contains(F.col("text"), F.lit(NEEDS[k])) if k in ("email", "phone") else F.col("text").rlike(NEEDS[k])) for k in KINDS}
     step = step.select("row", "text", *[F.when(needs[k], _marked(k, F.col("text"))).alias(f"m_{k}") for k in KINDS])
-
-    def base(k: str) -> Column:
-        return F.filter(_spans(F.col(f"m_{k}"), BASE[k]), lambda s: _passes(k, s["m"]))
-
     rest = lambda k: F.when(F.col(f"m_{k}").isNotNull(), _masked(F.col(f"m_{k}"), BASE[k]))
     plain = lambda k, c: F.translate(c, DOT, ".") if k == "email" else F.translate(c, MARK, " ") if k == "card" else c
-    step = step.select("row", "text", *[F.coalesce(F.when(F.col(f"m_{k}").isNotNull(), base(k)), _none()).alias(f"base_{k}") for k in KINDS], *[F.coalesce(plain(k, rest(k)), F.col("text")).alias(f"r_{k}") for k in KINDS])
-    return step.select("row", "text", *[f"base_{k}" for k in KINDS], *[F.when(F.col(f"r_{k}").rlike(LOOSE_NEEDS[k]), _spans(F.col(f"r_{k}"), LOOSE[k])).otherwise(_none()).alias(f"loose_{k}") for k in KINDS])
-
-
-def _judged(kind: str, s: Column, is_base: bool) -> dict[str, Column]:
-    """A candidate's votes and shape."""
-    m, text = F.translate(s["m"], DOT, "."), F.col("text")
-    before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT)).cast("int"))
-    digits = _digits(m)
-    check = {
-        "email": F.length(m) <= 254, "ip": F.lit(True) if is_base else F.size(F.split(m, ":")) == 8,
-        "card": _luhn(digits), "phone": F.length(digits).between(10, 15) & ~digits.rlike(r"^(.)\1+$"),
+    step = step.select("row", *[F.coalesce(F.when(F.col(f"m_{k}").isNotNull(), _spans(F.col(f"m_{k}"), BASE[k])), _none()).alias(f"all_{k}") for k in KINDS], *[F.coalesce(plain(k, rest(k)), F.col("text")).alias(f"r_{k}") for k in KINDS])
+    step = step.select("row", *[f"all_{k}" for k in KINDS], *[F.when(F.col(f"r_{k}").rlike(LOOSE_NEEDS[k]), _spans(F.col(f"r_{k}"), LOOSE[k])).otherwise(_none()).alias(f"loose_{k}") for k in KINDS])
+
+    def judged(k: str, column: str, matches: bool) -> Column:
+        some = F.filter(column, lambda s: F.length(_digits(s["m"])) >= LEAST_DIGITS[k]) if matches and k in LEAST_DIGITS else F.col(column)
+        return F.transform(some, lambda s: _judged(k, s, matches))
+
+    return step.select("row", F.concat(*[judged(k, f"all_{k}", True) for k in KINDS], *[judged(k, f"loose_{k}", False) for k in KINDS]).alias("spans"))
+
+
+def _judged(kind: str, s: Column, matches: bool) -> Column:
+    """A candidate's kind, place, votes and shape; matches: of the base pattern. It's a base span if it passes too."""
+    m, before = F.translate(s["m"], DOT + MARK, ". "), F.translate(s["before"], DOT + MARK, ". ")
+    passes = _passes(kind, m) if matches else F.lit(False)
+    return _let(F.struct(m.alias("m"), before.alias("before"), _digits(m).alias("digits"), passes.alias("passes")), lambda v: _voted(kind, s, v, matches))
+
+
+def _voted(kind: str, s: Column, v: Column, matches: bool) -> Column:
+    m, before, digits = v["m"], v["before"], v["digits"]
+    check = v["passes"] if matches and kind != "email" else {
+        "email": F.length(m) <= 254, "ip": (F.size(F.split(m, ":")) == 8) | m.contains("::"), "card": _luhn(digits) & (F.length(digits) >= 13), "phone": F.length(digits).between(8, 15) & ~digits.rlike(r"^(.)\1+$"),
     }[kind]
+    ending = F.regexp_replace(m, r"[\])] ?(?=[A-Za-z]+$)", ".") if kind == "email" else digits if kind == "card" else m
     sign = lambda c: F.when(c, 1).otherwise(-1)
-    return {
-        "pattern": F.lit(1 if is_base else 0), "check": sign(check),
-        "gazetteer": sign((digits if kind == "card" else F.regexp_replace(m, r"[\])] ?(?=[A-Za-z]+$)", ".") if kind == "email" else m).rlike(GAZETTEER[kind])),
+    said = {
+        "pattern": F.lit(1 if matches else 0), "check": sign(check), "gazetteer": sign(ending.rlike(GAZETTEER[kind])),
         "context": F.when(before.rlike(FOR[kind]), 1).otherwise(0), "signs": F.when(before.rlike(AGAINST), -1).otherwise(0),
-        "spaced": m.rlike(r"[ ()-]").cast("int"), "long": (F.length(m) > 20).cast("int"), "line_start": ((s["start"] == 0) | before.rlike(r"\n$")).cast("int"),
+        "spaced": m.rlike(r"[ ()-]").cast("int"), "long": (F.length(m) > 20).cast("int"), "line_start": ((s["start"] == 0) | before.rlike(r"\n$")).cast("int"),
     }
+    return F.struct(F.lit(KINDS.index(kind)).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), v["passes"].alias("base"), *[c.cast("int").alias(n) for n, c in said.items()])
 
 
 @dataclass(frozen=True)
@@ -209,91 +228,104 @@ def reliabilities(table: list[tuple[tuple[int, ...], int]], rounds: int = 50) ->
     return share, probs, post
 
 
-def _votes(kind: str, base: bool) -> Column:
-    candidates = F.col(f"{'base' if base else 'loose'}_{kind}")
-    return F.transform(candidates, lambda s: F.struct(F.lit(kind).alias("kind"), *[c.cast("int").alias(n) for n, c in _judged(kind, s, base).items()]))
+def trained(found: DataFrame) -> Model:
+    """The span classifier for a corpus' candidates. The driver gets counts of vote patterns alone."""
+    names = [*VOTES, *SHAPES]
+    counted = found.select(F.inline("spans")).groupBy("rank", "base", *names).count().collect()
+    return fitted([(KINDS[r["rank"]], r["base"], tuple(r[n] for n in names), r["count"]) for r in counted])
 
 
-def trained(docs: DataFrame, text: str = "text") -> Model:
-    """The span classifier for a corpus. The driver gets counts of vote patterns alone."""
-    found = _candidates(docs, text)
+def fitted(counted: list[tuple[str, bool, tuple[int, ...], int]]) -> Model:
+    """From counts of (kind, base, votes and shape)."""
     names = [*VOTES, *SHAPES]
-    rows = []
-    for k in KINDS:
-        for base in (True, False):
-            rows.append(_votes(k, base))
-    counted = found.select(F.inline(F.concat(*rows))).groupBy("kind", *names).count().collect()
     start, weight = {}, {}
     for k in KINDS:
-        own = sorted((tuple(r[n] for n in names), r["count"]) for r in counted if r["kind"] == k)
-        post = reliabilities([(v[: len(VOTES)], n) for v, n in own])[2] if own else []
-        # the classifier decides on loose candidates only, so it begins with the share of true ones among them
-        loose = [(q * n, n) for q, (v, n) in zip(post, own) if v[0] == 0]
-        share = (sum(q for q, _ in loose) + 1) / (sum(n for _, n in loose) + 2)
+        own = sorted((v, base, n) for kind, base, v, n in counted if kind == k)
+        post = reliabilities([(v[: len(VOTES)], n) for v, _, n in own])[2] if own else []
+        # the classifier decides on other candidates than base spans, so it begins with the share of true ones among them
+        open_to = [(q * n, n) for q, (_, base, n) in zip(post, own) if not base]
+        share = (sum(q for q, _ in open_to) + 1) / (sum(n for _, n in open_to) + 2)
         start[k], weight[k] = math.log(share / (1 - share)), {}
         for i, name in enumerate(names):
-            # the pattern labeler abstains on loose candidates by definition, so it says nothing of them
+            # the pattern labeler says the same of all loose candidates, so it says nothing of them
             for value in (-1, 0, 1) if name != "pattern" else ():
-                yes = sum(p * n for p, (v, n) in zip(post, own) if v[i] == value)
-                no = sum((1 - p) * n for p, (v, n) in zip(post, own) if v[i] == value)
-                all_yes, all_no = (sum(q * n for q, (_, n) in zip(side, own)) for side in (post, [1 - p for p in post]))
+                yes = sum(p * n for p, (v, _, n) in zip(post, own) if v[i] == value)
+                no = sum((1 - p) * n for p, (v, _, n) in zip(post, own) if v[i] == value)
+                all_yes, all_no = (sum(q * n for q, (_, _, n) in zip(side, own)) for side in (post, [1 - p for p in post]))
                 hope = (4.0, 2.0) if value > 0 and name in VOTES else (0.4, 4.0) if value < 0 else (2.0, 2.0)
                 weight[k][name, value] = math.log((yes + hope[0]) / (all_yes + 6.4)) - math.log((no + hope[1]) / (all_no + 6.4))
     return Model(start, weight)
 
 
-def with_spans(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """row (the whole input row), text, and base and added: arrays of (kind, rank, start, end)."""
-    found = _candidates(docs, text)
-    base = F.concat(*[_named(k, F.col(f"base_{k}")) for k in KINDS])
-    added = F.concat(*[_named(k, _accepted(k, model)) for k in KINDS])
-    return found.select("row", "text", base.alias("base"), added.alias("added"))
+def with_spans(docs: DataFrame, carry: list[str], text: str = "text", model: Model | None = None) -> DataFrame:
+    """row (the carried columns, c0 and so on), and base and added: arrays of (rank, start, end).
+
+    The candidates, with the carried columns, are kept in the shared folder, so that texts are searched once.
+    """
+    found = Scratch(docs.sparkSession).keep(_candidates(docs, carry, text), "candidates")
+    model = model or trained(found)
+    place = lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"))
 
+    def accepted(s: Column) -> Column:
+        """Candidates that pass the check and that the classifier holds likelier true than not."""
+        odds = F.lit(None).cast("double")
+        for rank, k in enumerate(KINDS):
+            odds = F.when(s["rank"] == rank, model.log_odds(k, {n: s[n] for n in [*VOTES, *SHAPES]})).otherwise(odds)
+        return ~s["base"] & (s["check"] > 0) & (odds > 0)
 
-def _named(kind: str, spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+    return found.select("row", F.transform(F.filter("spans", lambda s: s["base"]), place).alias("base"), F.transform(F.filter("spans", accepted), place).alias("added"))
 
 
-def _accepted(kind: str, model: Model) -> Column:
-    """Loose candidates that pass the check and that the classifier holds likelier true than not."""
+def _carried(carry: list[str]) -> list[Column]:
+    return [F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(carry)]
 
-    def good(s: Column) -> Column:
-        votes = _judged(kind, s, False)
-        return (votes["check"] > 0) & (model.log_odds(kind, votes) > 0)
 
-    return F.filter(F.col(f"loose_{kind}"), good)
+def _kind(s: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["rank"] + 1)
 
 
 def _said(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", _kind(s), s["start"], s["end"])), ",")
 
 
 def digest(docs: DataFrame, carry: list[str], text: str = "text", model: Model | None = None) -> DataFrame:
     """Every row's `carry` columns with counts by kind, base_sha256, spans and n_added."""
-    found = with_spans(docs, model or trained(docs, text), text)
+    found = with_spans(docs, carry, text, model)
 
-    def number(k: str) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    def number(rank: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{KINDS[rank]}")
 
     return found.select(
-        *[F.col("row").getField(c).alias(c) for c in carry], *[number(k) for k in KINDS],
-        F.sha2(_said(F.col("base")), 256).alias("base_sha256"),
+        *_carried(carry), *[number(k) for k in range(len(KINDS))], F.sha2(_said(F.col("base")), 256).alias("base_sha256"),
         _said(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
     )
 
 
 def redacted(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", model: Model | None = None) -> DataFrame:
-    """The same columns, with every span replaced by its kind in brackets and n_chars brought up to date."""
-    found = with_spans(docs, model or trained(docs, text), text)
-    spot = F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    # of overlapping spans the first stays and reaches as far as any of them
-    merge = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind"))))).otherwise(F.concat(acc, F.array(s)))
-    marked = found.select("row", F.aggregate(F.sort_array(spot), F.from_json(F.lit("[]"), "array<struct<start:long,end:long,kind:string>>"), merge).alias("spots"))
-    own = F.col("row").getField(text)
-    piece = lambda s, i: F.concat(F.substring(own, (F.when(i > 0, F.get("spots", i - 1)["end"]).otherwise(0) + 1).cast("int"), (s["start"] - F.when(i > 0, F.get("spots", i - 1)["end"]).otherwise(0)).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-    tail = F.substring(own, (F.element_at("spots", -1)["end"] + 1).cast("int"), F.length(own))
-    new = F.when(F.size("spots") > 0, F.concat(F.array_join(F.transform("spots", piece), ""), tail)).otherwise(own)
-    done = marked.select("row", new.alias("new"))
+    """The same columns, with every span replaced by its kind in brackets and n_chars brought up to date.
+
+    Of overlapping spans the first stays and reaches as far as any of them.
+    """
+    columns = docs.columns
+    found = with_spans(docs, columns, text, model)
+    own = F.col("row").getField(f"c{columns.index(text)}")
+    by_place = F.sort_array(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"))))
+    spots = found.select("row", by_place.alias("spots"))
+    reach = F.zip_with("spots", _scan(F.transform("spots", lambda s: s["end"]), F.greatest), lambda s, before: F.struct(before.alias("before"), s["start"].alias("start"), s["rank"].alias("rank")))
+    # the text in chunks, so that a place in it is found without walking from its start
+    chunks = F.regexp_extract_all(own, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    ready = spots.where(F.size("spots") > 0).select(
+        "row", F.filter(reach, lambda s: s["start"] >= s["before"]).alias("heads"), F.array_max(F.transform("spots", lambda s: s["end"])).alias("last"), chunks.alias("chunks"), F.size("spots").alias("n"))
+
+    def part(a: Column, b: Column) -> Column:
+        """The text from one place to another."""
+        first = F.floor(a / CHUNK).cast("int")
+        held = F.slice("chunks", first + 1, F.floor(b / CHUNK).cast("int") - first + 1)
+        return F.substring(F.array_join(held, ""), (a % CHUNK + 1).cast("int"), (b - a).cast("int"))
+
+    named = F.transform("heads", lambda s: F.concat(part(s["before"], s["start"]), F.lit("["), F.upper(_kind(s)), F.lit("]")))
+    changed = ready.select("row", F.concat(F.array_join(named, ""), part(F.col("last"), F.size("chunks").cast("long") * CHUNK)).alias("new"))
+    done = spots.where(F.size("spots") <= 0).select("row", own.alias("new")).unionByName(changed)
     kinds = {f.name: f.dataType for f in docs.schema}
-    change = {text: F.col("new"), n_chars: F.length("new").cast(kinds[n_chars]) if n_chars in kinds else None}
-    return done.select(*[(change[c] if c in change else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    change = {text: F.col("new").cast(kinds[text]), n_chars: F.length("new").cast(kinds[n_chars]) if n_chars in kinds else None}
+    return done.select(*[change[c].alias(c) if c in change else F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(columns)])

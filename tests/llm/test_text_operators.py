@@ -83,6 +83,69 @@ def test_reliabilities_tell_good_from_bad_labelers():
     assert abs(share - 0.4) < 0.05 and [round(p[1][0], 1) for p in probs[:4]] == [0.9, 0.9, 0.8, 0.8] or probs[0][1][0] > probs[4][1][0] + 0.2
 
 
+def test_long_texts_take_time_in_proportion(spark):
+    """60000 spans in a megabyte, within seconds; places and redaction like plain patterns."""
+    import time
+
+    unit = "x@y.zz and 4111 1111 1111 1111, "
+    docs = spark.createDataFrame([(1, unit * 30_000, 0), (2, unit * 3, 0)], "doc_id long, text string, n_chars int")
+    began = time.time()
+    found, clean = by_id(pii.digest(docs, ["doc_id"])), by_id(pii.redacted(docs))
+    took = time.time() - began
+    for i, n in ((1, 30_000), (2, 3)):
+        assert found[i]["base_sha256"] == hashlib.sha256(base_spans(unit * n).encode()).hexdigest() and found[i]["n_email"] == found[i]["n_card"] == n
+        assert clean[i]["text"] == "[EMAIL] and [CARD], " * n and clean[i]["n_chars"] == 20 * n
+    assert took < 30, took
+
+
+def plain_redacted(text, spans):
+    out, at = "", 0
+    for a, b, k in sorted(spans, key=lambda s: (s[0], s[1], pii.KINDS.index(s[2]))):
+        if a >= at:
+            out += text[at:a] + f"[{k.upper()}]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_redaction_like_plain_spans(spark, monkeypatch):
+    """Overlaps of kinds, chunks and blocks of every size."""
+    monkeypatch.setattr(pii, "CHUNK", 7)
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    r = random.Random(12)
+    parts = ["+1 4111 1111 1111 1111", "+4111111111111111@a.b", "1.2.3.4@c.dd", "(212) 555-1234", "a@b.c", "4111-1111-1111-1111", "1::2", "😀é", " ", "\n", "bob (at) site (dot) com", "37828224631 0005", "3782 822463 10005"]
+    rows = [(i, "".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randint(0, 14)))) for i in range(200)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame([(i, t, 5, "keep") for i, t in rows], "doc_id long, text string, n_chars long, spans string")
+    found, clean = by_id(pii.digest(docs, ["doc_id"])), by_id(pii.redacted(docs))
+    assert sum(x["n_added"] for x in found.values()) > 50
+    for i, t in rows:
+        spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in found[i]["spans"].split(",") if x)]
+        assert clean[i]["text"] == (t if t is None else plain_redacted(t, spans)) and clean[i]["spans"] == "keep", (t, spans)
+    empty = docs.limit(0)
+    assert pii.digest(empty, ["doc_id"]).count() == pii.redacted(empty).count() == 0
+
+
+def plain_reliabilities(table, rounds=50):
+    """Dawid and Skene row by row, candidates written out."""
+    rows = [v for v, n in table for _ in range(n)]
+    post = [1 / (1 + np.exp(1.0 - 1.5 * sum(v))) for v in rows]
+    hope = {-1: (0.1, 1.0), 0: (0.5, 0.5), 1: (1.0, 0.4)}
+    for _ in range(rounds):
+        share = (sum(post) + 1) / (len(rows) + 2)
+        like = lambda k, x, side: (sum((p, 1 - p)[side] for p, v in zip(post, rows) if v[k] == x) + 4 * hope[x][side]) / (sum((p, 1 - p)[side] for p in post) + 4 * sum(h[side] for h in hope.values()))
+        known = {(k, x, side): like(k, x, side) for k in range(5) for x in (-1, 0, 1) for side in (0, 1)}
+        true, false = ([w * np.prod([known[k, x, side] for k, x in enumerate(v)]) for v in rows] for side, w in ((0, share), (1, 1 - share)))
+        post = [a / (a + b) for a, b in zip(true, false)]
+    return share, dict(zip(rows, post))
+
+
+def test_reliabilities_like_plain_rounds():
+    r = random.Random(2)
+    table = sorted(Counter(tuple(r.choice((-1, 0, 1)) for _ in range(5)) for _ in range(60)).items())
+    share, _, post = pii.reliabilities(table)
+    want, plain = plain_reliabilities(table)
+    assert share == pytest.approx(want, rel=1e-9) and all(p == pytest.approx(plain[v], rel=1e-6) for (v, _), p in zip(table, post))
+
+
 def test_redaction_keeps_columns(spark, odd):
     out = pii.redacted(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
