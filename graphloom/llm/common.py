@@ -56,6 +56,13 @@ def map_texts(
     return read.mapInArrow(run, T.StructType([df.schema[c] for c in carry] + list(out)))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed package of public vocabularies has a file; asked on the driver alone."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have."""
     taken, name = {c.lower() for c in df.columns}, f"__{base}"

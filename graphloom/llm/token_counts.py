@@ -6,7 +6,7 @@ above it, and how many tokens are left if each document is cut to the limit. A q
 length up to which that share of the documents reaches.
 
 Null and empty texts have length 0. Repeated rows count as often as they occur; an empty table gives an
-empty histogram; limits beyond the longest document cut nothing. Other columns are neither read nor touched.
+empty histogram; limits beyond the longest document cut nothing; documents of equal length (ties) are one row. Other columns are neither read nor touched.
 
 The suffix sums are taken within bands of BAND lengths, in parallel, and over the bands' totals; so no
 task gets more than BAND rows or a row for each band.
@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..scratch import cut
 from . import common as C
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Name of a public vocabulary file; any other is given by its path.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that belongs to the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BAND = 256
@@ -40,9 +42,9 @@ def encoding(raw: bytes, pattern: str):
     return _READY[key]
 
 
-def encoded_lengths(docs: DataFrame, carry: list[str], vocabulary: str = VOCABULARY, pattern: str = PATTERN, text: str = "text") -> DataFrame:
-    """Every row's `carry` columns with n_tokens (long)."""
-    with open(vocabulary, "rb") as f:
+def encoded_lengths(docs: DataFrame, carry: list[str], vocabulary: str | None = None, pattern: str = PATTERN, text: str = "text") -> DataFrame:
+    """Every row's `carry` columns with n_tokens (long). vocabulary: a path on the driver; tasks get its bytes."""
+    with open(vocabulary or C.tokenizer_file(VOCABULARY), "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make() -> Callable[[list[str]], dict[str, list]]:
@@ -61,7 +63,8 @@ def suffix_sums(hist: DataFrame, by: list[str] | None = None) -> DataFrame:
     """For each length L as a context limit: docs_at_least, tokens_at_least, docs_total, tokens_total,
     truncated_tokens (the sum of min(length, L)) and docs_share (share of documents up to L)."""
     by = by or []
-    hist = hist.withColumn("band", F.floor(F.col("n_tokens") / BAND))
+    # a row for each length; kept, since it is read twice and every text stands behind it
+    hist = cut(hist).withColumn("band", F.floor(F.col("n_tokens") / BAND))
     tokens = F.col("n_docs") * F.col("n_tokens")
     bands = hist.groupBy(*by, "band").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
     above = W.partitionBy(*by).orderBy(F.desc("band")).rowsBetween(W.unboundedPreceding, -1)
