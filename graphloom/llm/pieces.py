@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Name of a public vocabulary file; any other is given by its path.
+MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Words and pairs of pieces that a worker remembers at most.
@@ -260,13 +261,13 @@ class Decoder:
         return "".join(out)
 
 
-def read_model(path: str = MODEL) -> bytes:
+def read_model(path: str | None = None) -> bytes:
     """Read by the driver alone; tasks get the bytes (a vocabulary file, under a few MB)."""
-    with open(path, "rb") as f:
+    with open(path or C.tokenizer_file(MODEL), "rb") as f:
         return f.read()
 
 
-def encoded(docs: DataFrame, carry: list[str], model: str = MODEL, text: str = "text", ids: bool = False, decoded: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, carry: list[str], model: str | None = None, text: str = "text", ids: bool = False, decoded: bool = False) -> DataFrame:
     """Every row's `carry` columns with n_tokens, ids_sha256 and decoded_sha256.
 
     ids and decoded add the ids themselves (array of long) and the decoded text.

@@ -291,6 +291,29 @@ def test_items_without_id_count(spark):
     assert [r["doc_id"] for r in decontam.clean(docs, items).collect()] == [3]
 
 
+def test_texts_are_encoded_once(spark, odd):
+    """The library's own ranks and pattern, built here, give the same histogram; and no text is encoded for it twice."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = odd.unionByName(common.table(spark, SF, "documents").limit(0), allowMissingColumns=True)
+    rows, total = common.table(spark, SF, "documents").select("text").collect() + docs.select("text").collect(), spark.sparkContext.accumulator(0)
+    want = Counter(len(plain.encode_ordinary(r["text"] or "")) for r in rows)
+
+    def seen(batches):
+        for b in batches:
+            total.add(b.num_rows)
+            yield b
+
+    every = common.table(spark, SF, "documents").select("text").unionByName(docs.select("text"))
+    sums = token_counts.suffix_sums(token_counts.histogram(token_counts.encoded_lengths(every.mapInArrow(seen, every.schema), [])))
+    assert {r["n_tokens"]: r["n_docs"] for r in sums.collect()} == want and total.value == len(rows)
+
+
 def test_suffix_sums(spark):
     lengths = [0, 0, 3, 5, 5, 5000, 9000, 9000, 123456]
     hist = token_counts.histogram(spark.createDataFrame([(x,) for x in lengths], "n_tokens long"))
@@ -306,7 +329,7 @@ def test_suffix_sums(spark):
 
 
 def test_token_lengths_like_the_library(spark, odd):
-    e = token_counts.encoding(open(token_counts.VOCABULARY, "rb").read(), token_counts.PATTERN)
+    e = token_counts.encoding(open(common.tokenizer_file(token_counts.VOCABULARY), "rb").read(), token_counts.PATTERN)
     found = token_counts.encoded_lengths(odd, ["doc_id", "text"])
     assert all(r["n_tokens"] == len(e.encode_ordinary(r["text"] or "")) for r in found.collect())
 
@@ -497,6 +520,31 @@ def test_forest_finds_outliers_and_keeps_good_rows():
     assert quality_forest.threshold(s, np.zeros(1000, bool)) == float("inf")
 
 
+def plain_depth(forest, row, tree):
+    at = int(forest.roots[tree])
+    while forest.left[at] != at:
+        at = int(forest.left[at] if row[forest.feature[at]] <= forest.split[at] else forest.right[at])
+    return forest.depth[at]
+
+
+def test_path_lengths_like_plain_walks():
+    x = np.random.default_rng(3).normal(0, 1, (300, 5))
+    forest = quality_forest.Forest(x, trees=9, subsample=64)
+    mean = [np.mean([plain_depth(forest, row, t) for t in range(9)]) for row in x]
+    # of n rows a search tree's unsuccessful search takes 2 H(n-1) - 2 (n-1) / n steps
+    norm = 2 * (np.log(63) + 0.5772156649) - 2 * 63 / 64
+    assert np.allclose(forest.score(x), 2 ** (-np.array(mean) / norm))
+
+
+def test_the_forest_gains_on_rows_that_it_was_not_fitted_to(spark):
+    """Fitted on half of the labels of sf0.1, judged on the other half, against the base rules alone."""
+    said = common.table(spark, "/root/testdata/sf0.1", "labels").where("quality is not null")
+    docs, half = common.table(spark, "/root/testdata/sf0.1", "documents"), F.crc32(F.col("doc_id").cast("string")) % 2
+    found = quality_forest.judged(docs, said.where(half == 0), ["doc_id"]).join(said.where(half == 1), "doc_id")
+    share = {(r["quality"], n): r[n] for r in found.groupBy("quality").agg(F.avg(F.col("base_failed").cast("int")).alias("base"), F.avg((~F.col("kept")).cast("int")).alias("both")).collect() for n in ("base", "both")}
+    assert share[0, "both"] > 0.7 > 0.5 > share[0, "base"] and share[1, "both"] < share[1, "base"] + 0.015, share
+
+
 def test_quality_on_odd_rows(spark, odd, labels):
     found = quality_forest.judged(odd, labels, ["doc_id"])
     assert found.count() == odd.count() and by_id(found)[5]["base_failed"] and by_id(found)[3]["n_words"] == 0
@@ -515,7 +563,7 @@ def test_word_hashes_do_not_depend_on_place():
 def test_pieces_like_the_library(spark, odd):
     import sentencepiece
 
-    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    lib = sentencepiece.SentencePieceProcessor(model_file=common.tokenizer_file(pieces.MODEL))
     encoder, decoder = pieces.ready(pieces.read_model())
     r = random.Random(1)
     texts = ["".join(r.choice("a b\n▁ththeéß中😀\x00  .,12ABx<0x41>") for _ in range(r.randint(0, 40))) for _ in range(2000)]
