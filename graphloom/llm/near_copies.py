@@ -1,12 +1,15 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-Texts are sets of shingles of SHINGLE words (lower case). Candidates are found with min-hashes: BANDS bands of
-ROWS each; two sets of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS, so a pair at
-SIMILARITY itself is missed about 3 times in a million, and nearer ones less. Each candidate pair is judged by
-the exact similarity of its two sets, unless its ends are already in one component by other pairs, where the
-answer changes nothing. So that groups don't cost the square of their size, every set is first judged against
-one other, then against the least set of each of its bands, and then only what still stands apart from its
-band's first component is judged against the whole band.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles: operator 9 as a stage for five words and
+a similarity of 0.8 or more.
+
+Texts are sets of shingles of SHINGLE words (lower case). Candidates are, first, sets whose SimHash fingerprints meet at
+an anchor and differ by at most two bits (operator 9). But sets at SIMILARITY itself differ by some ten of 64 bits,
+farther than any covering reaches, so further candidates come from the sets' least hashes: BANDS bands of ROWS each; two sets of
+similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS, so a pair at SIMILARITY itself is missed about 3
+times in a million, and nearer ones less. Each candidate pair is judged by the exact similarity of its two sets,
+unless its ends are already in one component by other pairs, where the answer changes nothing. So that groups don't
+cost the square of their size, every set is first judged against the least one of its fingerprint, fingerprints by
+their least sets, and every set against one other of its bands; then against the least set of each of its bands, and
+then only what still stands apart from its band's first component is judged against the whole band.
 
 Equal sets are one; only sets that share a band with another have their texts moved. Null and empty texts are
 the empty set. A component stays with one row, the least by (doc_id, text), null ids last.
@@ -24,6 +27,7 @@ from pyspark.sql import types as T
 from ..operators.components import stars
 from ..scratch import cut
 from . import common as C
+from . import simhash
 from .words import mixed
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -68,18 +72,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def prints(docs: DataFrame, carry: list[str], text: str, fp: str, bands: str = "") -> DataFrame:
-    """Every row's `carry` columns, its set's key as a (signed) long, and its bands if named."""
+def prints(docs: DataFrame, carry: list[str], text: str, fp: str, bands: str = "", code: str = "") -> DataFrame:
+    """Every row's `carry` columns, its set's key as a (signed) long, and its bands and SimHash if named."""
 
     def make() -> Callable[[list[str]], dict[str, list]]:
         def work(texts: list[str]) -> dict[str, list]:
             sets = [shingles(t) for t in texts]
             made = {fp: np.array([key_of(s) for s in sets], np.uint64).view(np.int64)}
-            return made | ({bands: [bands_of(s).view(np.int64) for s in sets]} if bands else {})
+            if bands:
+                made[bands] = [bands_of(s).view(np.int64) for s in sets]
+            if code:
+                made[code] = np.array([simhash.of_hashes([s]) for s in sets], np.uint64).view(np.int64)
+            return made
 
         return work
 
-    out = [T.StructField(fp, C.LONG)] + ([T.StructField(bands, T.ArrayType(C.LONG))] if bands else [])
+    out = [T.StructField(fp, C.LONG)] + ([T.StructField(bands, T.ArrayType(C.LONG))] if bands else []) + ([T.StructField(code, C.LONG)] if code else [])
     return C.map_texts(docs, carry, text, make, T.StructType(out))
 
 
@@ -97,16 +105,26 @@ def judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return C.map_texts(whole, ["src", "dst"], "texts", make, C.struct(near=C.BOOL)).where("near").select("src", "dst")
 
 
+def by_fingerprint(found: DataFrame) -> DataFrame:
+    """Candidates src, dst by SimHash: sets of one fingerprint with its least set, and the least sets of fingerprints that link."""
+    codes = cut(found.groupBy("code").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")))
+    same = found.join(codes.where("lead < last"), "code").where("lead < fp").select(F.col("lead").alias("src"), F.col("fp").alias("dst"))
+    end = lambda c: codes.select(F.col("code").alias(c), F.col("lead").alias(f"lead_{c}"))
+    linked = simhash.links(codes.select(F.col("code").alias("fp"))).join(end("src"), "src").join(end("dst"), "dst")
+    return same.unionByName(linked.select(F.least("lead_src", "lead_dst").alias("src"), F.greatest("lead_src", "lead_dst").alias("dst")))
+
+
 def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """fp, root for every set that is near to another. found: fp, bands, a row for each set."""
+    """fp, root for every set that is near to another. found: fp, bands, code, a row for each set."""
     every = found.select("fp", F.posexplode("bands").alias("band", "value"))
     shared = every.groupBy("band", "value").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first < last")
     members = cut(every.join(shared, ["band", "value"]).select("band", "value", "first", "fp"))
-    needed = members.select("fp").distinct()
+    close = cut(by_fingerprint(found.select("fp", "code")))
+    needed = members.select("fp").union(close.select("src")).union(close.select("dst")).distinct()
     own = prints(docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")), ["text"], "text", "fp")
     texts = cut(own.join(needed.hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")))
     led = members.where("first < fp").select(F.col("first").alias("src"), F.col("fp").alias("dst"))
-    tried = cut(led.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst"))
+    tried = cut(led.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst").unionByName(close).distinct())
     near = cut(judged(tried, texts))
     for step in ("led", "apart"):
         rooted = cut(stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root")))
@@ -127,21 +145,6 @@ def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, as they are: of each component the one with the least (doc_id, text), once."""
-    found = cut(prints(docs, [doc_id], text, "fp", "bands").groupBy(F.col("fp")).agg(F.min(doc_id).alias("least"), F.first("bands").alias("bands")))
-    joined = found.join(components(found.select("fp", "bands"), docs, text), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return one_each(docs, prints(docs, docs.columns, text, C.fresh(docs, "fp")), C.fresh(docs, "fp"), joined, doc_id, text)
-
-
-def one_each(docs: DataFrame, printed: DataFrame, fp: str, rooted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Of each root one row of docs, the least by (doc_id, text), null ids last.
-
-    printed: docs with the column fp; rooted: fp, least (its least doc_id), root. Only rows that hold the root's least id, or
-    that have no id where no row has, are moved.
-    """
-    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
-    stay = rooted.join(best, "root").where(F.col("least").eqNullSafe(F.col("best")))
-    name, root = C.fresh(printed, "best"), C.fresh(printed, "root")
-    stay = stay.select(F.col("fp").alias(fp), F.col("best").alias(name), F.col("root").alias(root))
-    held = printed.join(stay.hint("merge"), fp).where(F.col(f"`{doc_id}`").eqNullSafe(F.col(name)))
-    whole = F.struct(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
-    return held.groupBy(root).agg(F.min(whole).alias("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    found = cut(prints(docs, [doc_id], text, "fp", "bands", "code").groupBy(F.col("fp")).agg(F.min(doc_id).alias("least"), F.first("bands").alias("bands"), F.first("code").alias("code")))
+    joined = found.join(components(found.select("fp", "bands", "code"), docs, text), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return C.one_each(docs, prints(docs, docs.columns, text, C.fresh(docs, "fp")), C.fresh(docs, "fp"), joined, doc_id, text)

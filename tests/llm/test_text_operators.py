@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -607,8 +608,9 @@ def test_fingerprints(spark, odd):
     assert simhash.fingerprint("A b C") == hashed % (1 << 64)
 
 
-def test_code_is_perfect_and_covers_pairs():
-    a = simhash.Anchors()
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+def test_codes_are_perfect_and_cover_pairs(blocks):
+    a = simhash.Anchors(blocks=blocks)
     r = np.random.default_rng(3)
     fp = r.integers(0, 1 << 63, 300, dtype=np.uint64)
     near = fp.copy()
@@ -619,7 +621,31 @@ def test_code_is_perfect_and_covers_pairs():
     own, _, _ = a.of(fp)
     for i in range(300):
         assert own[i] in sent[number == i] and homes[i] in sent[number == i]
-    assert max(int(x).bit_count() for x in a.leader) == 3
+    for code, (_, bits, radius) in zip(a.codes, simhash.BLOCKS):
+        assert max(int(x).bit_count() for x in code.leader) == radius
+        # perfect: the words within the radius of the codewords are all words, each once
+        assert sum(len(list(combinations(range(bits), k))) for k in range(radius + 1)) << (bits - code.degree) == 1 << bits
+
+
+def test_links_do_not_depend_on_the_blocks(spark):
+    r = random.Random(10)
+    base = [r.getrandbits(64) for _ in range(300)]
+    every = list(dict.fromkeys(base + [x ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for x in base for _ in range(2)] + [1 << k for k in range(64)] + [0]))
+    signed = [x - (1 << 64) if x >> 63 else x for x in every]
+    want = {(min(a, b), max(a, b)) for (a, x), (b, y) in combinations(list(zip(signed, every)), 2) if (x ^ y).bit_count() <= 2}
+    fps = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for blocks in (None, 2, 3):
+        rows = [(x["src"], x["dst"]) for x in simhash.links(fps, blocks=blocks).distinct().collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 2000
+
+
+def test_one_root_may_have_most_rows(spark):
+    """A chain of fingerprints through 65 others, and one fingerprint in half of the rows."""
+    chain = [(1 << k) - 1 for k in range(64)]
+    rows = [(i, chain[i % 64]) for i in range(3000)] + [(10_000 + i, 1 << 62 | 1 << 50 | 1 << 40) for i in range(3000)]
+    prints = spark.createDataFrame(rows, "doc_id long, fp long")
+    found = prints.join(simhash.components(prints), "fp").groupBy("component_id").count().collect()
+    assert sorted(map(tuple, found)) == [(0, 3000), (10_000, 3000)]
 
 
 def test_components_of_fingerprints(spark):
