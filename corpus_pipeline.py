@@ -1,8 +1,8 @@
 """A training corpus from `documents`, in five stages.
 
 toxicity            documents with a score of 0.7 or more go
-near_duplicates     of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the
-                    document with the least doc_id stays
+near_duplicates     of each group of near copies (SimHash at anchors and least hashes over five-word shingles, judged
+                    by an exact Jaccard similarity of 0.8 or more) the document with the least doc_id stays
 decontamination     documents that hold an item of `benchmark`, up to a few edits, go
 personal_data       personal data is replaced by its kind in brackets
 pieces              what is left is encoded and decoded; returned are doc_id, n_tokens and two digests
@@ -49,15 +49,18 @@ STAGES = [
     ("pieces", as_pieces),
 ]
 
-#: SQL can't say these stages; tests hold each against a brute-force version.
+#: SQL can't say these stages; tests hold each against a plain version in Python, one after another.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
+    """The last stage's rows. What a stage kept is dropped once the next one's result is written, so that at most two
+    copies of the corpus lie in the shared folder; the last one stays until scratch.clear() or the end of the session."""
+    scratch, before = Scratch(spark), ""
     docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.keep(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)

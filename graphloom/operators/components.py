@@ -2,8 +2,9 @@
 
 The stars of Kiveris et al. (2014): in turn every id hands its larger neighbours to the least id it knows,
 and its smaller ones to the least of them, until every component is a star around its least id. Links only
-shrink. Each round is two aggregations and two joins on an id, whose hot side Spark may split; rounds grow
-with the logarithm of the size. Nothing goes to the driver but a count and a checksum.
+shrink. Each round is two aggregations and two joins on an id; rounds grow with the logarithm of the size. Beyond
+SPLIT links the aggregates are written before they are joined, so that both sides of a join are exchanged as they
+are and Spark may split the rows of a hub. Nothing goes to the driver but a count and a checksum.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 
 
+#: Links beyond which a hub is worth a table of its own in each round.
+SPLIT = 1_000_000
+
+
 def stars(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """id, component (the least id of its component) for every id that has a link, itself included.
 
@@ -28,11 +33,11 @@ def stars(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
         now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first())
         if now == before or now[0] == 0:
             break
-        before = now
+        before, written = now, cut if now[0] > SPLIT else lambda df: df
         both = star.unionByName(star.select(F.col("small").alias("big"), F.col("big").alias("small")))
-        least = both.groupBy("big").agg(F.least("big", F.min("small")).alias("to"))
-        large = both.where("small > big").join(least, "big").select(F.col("small").alias("big"), F.col("to").alias("small")).distinct()
-        least = large.groupBy("big").agg(F.min("small").alias("to"))
+        least = written(both.groupBy("big").agg(F.least("big", F.min("small")).alias("to")))
+        large = written(both.where("small > big").join(least, "big").select(F.col("small").alias("big"), F.col("to").alias("small")).distinct())
+        least = written(large.groupBy("big").agg(F.min("small").alias("to")))
         moved = large.join(least, "big").where("small <> to").select(F.col("small").alias("big"), F.col("to").alias("small"))
         star = cut(moved.unionByName(least.select("big", F.col("to").alias("small"))).distinct())
     found = star.select(F.col("big").alias("id"), F.col("small").alias("component"))

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
+    Only where that is unset and Spark runs in one process, as in tests, a temporary folder is made and set; on a
+    cluster that raises ValueError. This module needs a classic session (it asks the JVM for the folder).
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         named = named or tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named or current.get()
@@ -31,12 +34,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_ROOTS: list[Scratch] = []
+
+
+def clear() -> None:
+    """Drop all tables that this process kept. Results that were not read yet can't be read afterwards."""
+    while _ROOTS:
+        _ROOTS.pop().drop()
+
+
 class Scratch:
     """Parquet tables in the shared folder, under one name, dropped together."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/graphloom/{uuid.uuid4().hex}"
+        _ROOTS.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
