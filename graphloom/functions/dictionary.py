@@ -71,6 +71,17 @@ def clear(dictionary: DataFrame) -> DataFrame:
     return dictionary.limit(0)
 
 
+def values(dictionary: DataFrame) -> list:
+    """All labels in order, as a list: the inverse of from_values. For dictionaries that fit on the driver."""
+    return [r["label"] for r in dictionary.orderBy("label_id").toLocalIterator()]
+
+
+def fingerprint(dictionary: DataFrame) -> DataFrame:
+    """One row with a number that is equal for dictionaries with the same labels in the same order."""
+    own = F.xxhash64("label_id", "label").cast("decimal(38,0)")
+    return dictionary.agg(F.xxhash64(F.coalesce(F.sum(own), F.lit(0).cast("decimal(38,0)")).cast("string"), F.count("*")).alias("fingerprint"))
+
+
 def encoded(df: DataFrame, dictionary: DataFrame, label: str = "label", name: str = "label_id") -> DataFrame:
     """df with the id of its label (null for no label). Dictionaries are small, but Spark decides on a broadcast by size."""
     return df.join(dictionary.select(F.col("label").alias(label), F.col("label_id").alias(name)), label, "left")

@@ -182,6 +182,17 @@ class PropertyGraph:
     def non_less_neighbors(self, node_id: int) -> DataFrame:
         return self.neighbors(node_id).where(F.col("id") >= node_id)
 
+    def has_neighbor(self, node_id: int, other: int) -> bool:
+        return self.has_edge(node_id, other)
+
+    def has_in_neighbor(self, node_id: int, other: int) -> bool:
+        return self.directed and self.has_edge(other, node_id)
+
+    def neighbors_full(self, node_id: int) -> DataFrame:
+        """id, edge_label, label of the out-neighbours, ascending."""
+        at = self.adjacency().where(F.col("src") == node_id).select(F.col("dst").alias("id"), F.col("label").alias("edge_label"))
+        return at.join(self.nodes, "id").select("id", "edge_label", "label").orderBy("id")
+
     def neighbor_lists(self) -> DataFrame:
         """id, neighbors (ascending array, empty for none) for every node."""
         return self._lists(self.adjacency(), "src", "dst", "neighbors")

@@ -78,6 +78,20 @@ def is_connected(found: DataFrame, a: int, b: int) -> bool:
     return are_connected(found, pair).first()["connected"]
 
 
+def roots(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, root for a table of ids: the least id of each one's component, null if it is unknown."""
+    return ids.join(found.select("id", F.col("component").alias("root")), "id", "left").select("id", "root")
+
+
+def get_root(found: DataFrame, node_id: int) -> int | None:
+    row = found.where(F.col("id") == node_id).first()
+    return row and row["component"]
+
+
+#: Components are stars, so a node's parent is its root.
+get_parent = get_root
+
+
 def connected_nodes(found: DataFrame, node_id: int) -> DataFrame | None:
     """Ids of the node's component, or None if it is unknown."""
     row = found.where(F.col("id") == node_id).first()

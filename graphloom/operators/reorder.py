@@ -6,9 +6,13 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.ordering import numbered
 from ..graph import PropertyGraph, canonical
+from ..scratch import cut
+
+BAND = 65536
 
 
 @dataclass(frozen=True)
@@ -79,21 +83,13 @@ def compact(g: PropertyGraph) -> DataFrame:
 
 
 def offsets(g: PropertyGraph) -> DataFrame:
-    """id, degree, offset: running sums of the degrees, taken from the edges' numbers, not by one task."""
-    first = edge_index(g).groupBy(F.col("src").alias("id")).agg(F.min("edge_index").alias("offset"), F.count("*").alias("degree"))
-    known = g.nodes.select("id").join(first, "id", "left")
-    # a node without edges starts where the next node with edges starts
-    place = numbered(known, [F.col("id")], "n")
-    total = g.adjacency().count()
-    from pyspark.sql.window import Window as W
-
-    band = F.floor(F.col("n") / 65536)
-    later = place.groupBy(band.alias("band")).agg(F.min("offset").alias("least"))
-    after = W.orderBy(F.desc("band")).rowsBetween(W.unboundedPreceding, -1)
-    later = later.select("band", F.min("least").over(after).alias("later"))
-    within = W.partitionBy("band").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0)
-    joined = place.withColumn("band", band).join(later, "band")
-    return joined.select("id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"), F.coalesce(F.min("offset").over(within), F.col("later"), F.lit(total).cast("long")).alias("offset"))
+    """id, degree, offset: the sum of the degrees of all lesser ids. The edges are read once; degrees are added up
+    within bands of BAND nodes, in parallel, and over the bands' totals."""
+    place = cut(numbered(cut(g.degrees()), [F.col("id")], "n").withColumn("band", F.floor(F.col("n") / BAND)))
+    bands = place.groupBy("band").agg(F.sum("degree").alias("sum"))
+    lesser = bands.select("band", F.coalesce(F.sum("sum").over(W.orderBy("band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("lesser"))
+    within = W.partitionBy("band").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    return place.join(lesser, "band").select("id", "degree", (F.coalesce(F.sum("degree").over(within), F.lit(0)) + F.col("lesser")).alias("offset"))
 
 
 def edge_index(g: PropertyGraph) -> DataFrame:

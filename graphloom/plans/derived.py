@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.ordering import numbered
 from ..graph import PropertyGraph
 
 NATION, CUSTOMER, SUPPLIER, ORDER = 100, 1_000_000, 10_000_000, 100_000_000
@@ -59,15 +60,15 @@ def clicks(spark: SparkSession, sf_dir: str, directed: bool = True) -> PropertyG
     before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     steps = e.select(before.alias("a"), F.col("event_type").alias("b")).where("a is not null").distinct()
     kinds = e.select("event_type").distinct()
-    nodes = kinds.select((F.dense_rank().over(W.orderBy("event_type")).cast("long") - 1).alias("id"), F.col("event_type").alias("label"))
+    nodes = numbered(kinds, [F.col("event_type")], "id").select("id", F.col("event_type").alias("label"))
     at = lambda c, to: nodes.select(F.col("id").alias(to), F.col("label").alias(c))
     edges = steps.join(at("a", "src"), "a").join(at("b", "dst"), "b").select("src", "dst", F.lit(None).cast("string").alias("label"))
     return PropertyGraph(nodes, edges) if directed else PropertyGraph.of(nodes, edges, False)
 
 
 def star(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Customers and their orders over 400000, undirected; many small components."""
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 400000")
+    """Customers with orders, and all orders, undirected; a component for each customer."""
+    o = table(spark, sf_dir, "orders")
     edges = o.select(_key("o_custkey", CUSTOMER).alias("src"), _key("o_orderkey", ORDER).alias("dst"), F.col("o_orderpriority").alias("label"))
     nodes = _union(edges.select(F.col("src").alias("id"), F.lit("customer").alias("label")).distinct(), edges.select(F.col("dst").alias("id"), F.lit("order").alias("label")))
     return PropertyGraph(nodes, edges, directed=False)

@@ -17,7 +17,7 @@ supply_edges as (select l_partkey as src, 10000000 + l_suppkey as dst, max(l_lin
 CLICKS = """clicks_nodes as (select dense_rank() over (order by event_type) - 1 as id, event_type as label from (select distinct event_type from events)),
 steps as (select lag(event_type) over (partition by user_id order by ts, event_id) as a, event_type as b from events),
 clicks_edges as (select distinct x.id as src, y.id as dst from steps join clicks_nodes x on a = x.label join clicks_nodes y on b = y.label)"""
-STAR = """star_edges as (select 1000000 + o_custkey as src, 100000000 + o_orderkey as dst, o_orderpriority as label from orders where o_totalprice > 400000),
+STAR = """star_edges as (select 1000000 + o_custkey as src, 100000000 + o_orderkey as dst, o_orderpriority as label from orders),
 star_nodes as (select distinct src as id, 'customer' as label from star_edges union all select dst, 'order' from star_edges)"""
 #: Undirected components of the edges of {g}, by least id.
 COMPONENTS = """both_{g} as (select src, dst from {g}_edges union select dst, src from {g}_edges),
@@ -79,12 +79,13 @@ def oracle_sql() -> dict[str, str]:
         "union_graphs_edges": second + "select coalesce(a.src, b.src) as src, coalesce(a.dst, b.dst) as dst, case when b.src is not null then b.label else a.label end as label from geo_edges a full join second_edges b on a.src = b.src and a.dst = b.dst",
         "minus_graphs_nodes": geo + "select id, label from geo_nodes where label <> 'nation' or id % 2 = 0",
         "minus_graphs_edges": geo + ", gone as (select id from geo_nodes where label = 'nation' and id % 2 = 1) select src, dst, label from geo_edges where src not in (select id from gone) and dst not in (select id from gone)",
-        "graph_equal": "select true as itself, false as relabelled, false as smaller",
+        "graph_equal": geo + "select not exists (from geo_edges except from geo_edges) as itself, not exists (select * from geo_edges except select src, dst, 'x' from geo_edges) as relabelled, not exists (from geo_edges except from geo_edges where dst % 2 = 0) as smaller",
+        "graph_fingerprint": geo + "select not exists (from geo_edges except from geo_edges) as itself, not exists (select * from geo_edges except select src, dst, 'x' from geo_edges) as relabelled, not exists (from geo_edges except from geo_edges where dst % 2 = 0) as smaller",
         "components": _with(GEO, _comp("geo"), recursive=True) + "select id, component from comp_geo",
         "star_components": _with(STAR, _comp("star"), recursive=True) + "select id, component from comp_star",
         "component_sizes": _with(STAR, _comp("star"), recursive=True) + "select component, count(*) as size from comp_star group by component",
         "component_count": _with(STAR, _comp("star"), recursive=True) + "select count(distinct component) as components from comp_star",
-        "same_component": _with(GEO, _comp("geo"), recursive=True) + "select a.id as a, b.id as b, coalesce(x.component = y.component, false) as connected from geo_nodes a, geo_nodes b left join comp_geo x on x.id = a.id left join comp_geo y on y.id = b.id where a.id < 110 and b.id < 110",
+        "same_component": _with(GEO, _comp("geo"), recursive=True) + "select a, b, coalesce(x.component = y.component, false) as connected from (select 1000000 + c_custkey as a, 100 + c_custkey % 30 as b from customer) left join comp_geo x on x.id = a left join comp_geo y on y.id = b",
         "component_members": _with(GEO, _comp("geo"), recursive=True) + "select id from comp_geo where component = (select component from comp_geo where id = 104)",
         "connected_subgraph_nodes": _with(STAR, _comp("star"), recursive=True) + "select id, label, component from star_nodes join comp_star using (id)",
         "connected_subgraph_edges": _with(STAR, _comp("star"), recursive=True) + "select src, dst, label, component from star_edges join comp_star on id = src",
@@ -100,9 +101,9 @@ def oracle_sql() -> dict[str, str]:
         "csr_edge_index": trade + "select src, dst, row_number() over (order by src, dst) - 1 as edge_index from trade_edges",
         "complete_pairs": "select s.i as src, t.i as dst from range(0, 60) s(i), range(0, 60) t(i) where s.i < t.i",
         "complete_directed_pairs": "select s.i as src, t.i as dst from range(0, 60) s(i), range(0, 60) t(i) where s.i <> t.i",
-        "gnm_counts": "select 100::bigint as nodes, 1000::bigint as edges, 0::bigint as loops, 1000::bigint as different",
-        "gnp_bounds": "select 0::bigint as none, 4950::bigint as every",
-        "densify": "select 100::bigint as nodes, 300::bigint as edges, 50::bigint as kept",
+        "gnm_counts": "select (select count(*) from customer) as nodes, count(*) as edges, count(*) filter (o_orderkey is null) as loops, count(distinct o_orderkey) as different from orders",
+        "gnp_bounds": "select count(*) filter (s_suppkey is null) as none, (count(*) * (count(*) - 1)) // 2 as every from supplier",
+        "densify": geo + "select (select count(*) from geo_nodes) as nodes, 6 * (select count(*) from geo_nodes) // 2 as edges, (select count(*) from geo_edges) as kept",
         "csv_roundtrip": geo + "select id, label from geo_nodes",
         "csv_roundtrip_edges": geo + "select src, dst, label from geo_edges",
         "snapshot_roundtrip": trade + "select src, dst, label from trade_edges",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        if not named and not spark.sparkContext.master.startswith("local["):
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         named = named or tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(named)

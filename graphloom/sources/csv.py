@@ -2,7 +2,8 @@
 
 With headers columns go by name, in any order, and others are ignored; without, by place. A row without a
 readable id is skipped; a label that can't be read is null. Rows with another number of fields than the
-header are skipped, unless flexible. Rows count in the order of the file: the last of a key wins.
+header are skipped, unless flexible. Rows count in the order of the file, and files in the order of their names,
+however Spark splits them: the last of a key wins.
 """
 
 from __future__ import annotations
@@ -47,18 +48,19 @@ class CSVReader:
             names = [str(x) for x in first] if first else names
         schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))] + [T.StructField("bad", T.StringType())])
         read = self.spark.read.schema(schema).option("sep", self.sep).option("header", self.has_headers).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").csv(path)
+        read = read.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")).alias("seq"))
         if not self.is_flexible:
             read = read.where("bad is null")
         place = {n: f"c{k}" for k, n in reversed(list(enumerate(names)))}
         found = {k: F.col(place[v]) if v in place else F.lit(None).cast("string") for k, v in columns.items()}
         keys = [k for k in columns if k != "label"]
-        kept = read.select(*[found[k].try_cast("long").alias(k) for k in keys], found["label"].try_cast(label).alias("label"), F.monotonically_increasing_id().alias("seq"))
+        kept = read.select(*[found[k].try_cast("long").alias(k) for k in keys], found["label"].try_cast(label).alias("label"), "seq")
         for k in keys:
             kept = kept.where(F.col(k) >= 0)
         return kept
 
     def nodes(self) -> DataFrame:
-        """id, label, seq; empty without a nodes file."""
+        """id, label, seq (by which rows are ordered); empty without a nodes file."""
         if self.paths[0] is None:
             return self.spark.createDataFrame([], f"id long, label {self.kinds[0]}, seq long")
         return self._rows(self.paths[0], NODE_COLUMNS, self.kinds[0])
