@@ -12,6 +12,8 @@ reachable_only keeps the start's tree alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +26,8 @@ from ..shipping import ship
 
 #: Ranks before all ids.
 FIRST = -(1 << 63)
+#: Levels that stay tables of their own.
+MERGE = 16
 
 
 def _start(g: PropertyGraph, start: int | None) -> int:
@@ -36,17 +40,17 @@ def _start(g: PropertyGraph, start: int | None) -> int:
     return start
 
 
-def _rank(start: int):
-    return F.when(F.col("id") == start, F.lit(FIRST)).otherwise(F.col("id"))
+def _rank(*starts: int):
+    return F.when(F.col("id").isin(*starts), F.lit(FIRST)).otherwise(F.col("id")) if starts else F.col("id")
 
 
-def trees(g: PropertyGraph, start: int, reachable_only: bool) -> DataFrame:
-    """id, tree: the rank of the root of each node's tree. Only nodes whose tree changed hand it on."""
+def trees(g: PropertyGraph, starts: list[int], reachable_only: bool) -> DataFrame:
+    """id, tree: the rank of the root of each node's tree; the starts share one. Only nodes whose tree changed hand it on."""
     edges = g.adjacency().where("src <> dst").select("src", "dst")
     if reachable_only:
-        found = changed = cut(g.get_node(start).select("id", F.lit(FIRST).alias("tree")))
+        found = changed = cut(g.nodes.where(F.col("id").isin(*starts)).select("id", F.lit(FIRST).alias("tree")))
     else:
-        found = changed = cut(g.nodes.select("id", _rank(start).alias("tree")))
+        found = changed = cut(g.nodes.select("id", _rank(*starts).alias("tree")))
     while True:
         offers = edges.join(changed.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("tree").alias("offer"))
         better = offers.join(found, "id", "left").where("tree is null or offer < tree").select("id", F.col("offer").alias("tree"))
@@ -59,12 +63,14 @@ def trees(g: PropertyGraph, start: int, reachable_only: bool) -> DataFrame:
 def bfs(g: PropertyGraph, start: int | None = None, reachable_only: bool = False) -> DataFrame:
     """id, root, level, pos: breadth-first order, neighbours ascending, pos counting from 0."""
     start = _start(g, start)
-    tree = cut(trees(g, start, reachable_only))
+    tree = cut(trees(g, [start], reachable_only))
     inside = _inside(g, tree)
     frontier = cut(tree.where(_rank(start) == F.col("tree")).select("id", "tree", F.lit(0).alias("level"), F.lit(0).cast("long").alias("at")))
-    seen, level = frontier, 0
+    # a level is written once; only every MERGE levels what was found is brought into one table
+    levels, level = [frontier], 0
     while True:
         level += 1
+        seen = reduce(DataFrame.unionByName, levels)
         offers = inside.join(frontier.select(F.col("id").alias("src"), "at"), "src").groupBy(F.col("dst").alias("id"), "tree").agg(F.min("at").alias("parent"))
         new = cut(offers.join(seen.select("id"), "id", "left_anti"))
         many = new.count()
@@ -73,7 +79,7 @@ def bfs(g: PropertyGraph, start: int | None = None, reachable_only: bool = False
         # places within a level need only grow in the right order; pos is counted once, at the end
         ordered = numbered(new, [F.col("tree"), F.col("parent"), F.col("id")], "at", many > 100_000)
         frontier = cut(ordered.select("id", "tree", F.lit(level).alias("level"), "at"))
-        seen = cut(seen.unionByName(frontier))
+        levels = [*levels, frontier] if len(levels) < MERGE else [cut(seen), frontier]
     return numbered(seen, [F.col("tree"), F.col("level"), F.col("at")], "pos").select("id", _root(start), "level", "pos")
 
 
@@ -90,8 +96,22 @@ def _root(start: int):
 def dfs(g: PropertyGraph, start: int | None = None, reachable_only: bool = False) -> DataFrame:
     """id, root, pos: depth-first order. All undiscovered neighbours are marked as they are pushed, ascending,
     so the greatest is visited first. A tree is walked by one task, in memory in proportion to its edges."""
-    start = _start(g, start)
-    tree = cut(trees(g, start, reachable_only))
+    return _depth_first(g, [_start(g, start)], reachable_only)
+
+
+def dfs_from_parts(g: PropertyGraph, stack: list[int], undiscovered: DataFrame) -> DataFrame:
+    """id, root, pos: what is left of a depth-first order, from its stack (the last is next) and a table of the ids not
+    discovered yet. root is null for what the stack leads to. The stack's ids count as discovered."""
+    known = undiscovered.select(F.col("id").cast("long").alias("id")).unionByName(g.spark.createDataFrame([(x,) for x in stack], "id long")).distinct()
+    ends = lambda c: known.select(F.col("id").alias(c))
+    left = replace(g, nodes=g.nodes.join(known, "id", "left_semi"), edges=g.edges.join(ends("src"), "src", "left_semi").join(ends("dst"), "dst", "left_semi").select("src", "dst", "label"))
+    order = _depth_first(left, stack, False)
+    return order.select("id", F.when(F.col("root") != F.lit(FIRST), F.col("root")).alias("root"), "pos")
+
+
+def _depth_first(g: PropertyGraph, stack: list[int], reachable_only: bool) -> DataFrame:
+    """From a stack whose nodes are discovered. Of several in it the root is FIRST."""
+    tree = cut(trees(g, stack, reachable_only))
     edges = _inside(g, tree)
     # a node without edges still makes a row: a loop, which the walk ignores
     members = tree.select(F.col("id").alias("src"), F.col("id").alias("dst"), "tree")
@@ -99,26 +119,26 @@ def dfs(g: PropertyGraph, start: int | None = None, reachable_only: bool = False
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(rows["tree"].iloc[0])
         after = rows[rows["src"] != rows["dst"]].sort_values("dst").groupby("src")["dst"].agg(list).to_dict()
-        root = start if tree == FIRST else tree
-        found, stack, order = {root}, [root], []
-        while stack:
-            at = stack.pop()
+        left = [x for x in stack if x in set(rows["src"])] if tree == FIRST else [tree]
+        found, order = set(left), []
+        while left:
+            at = left.pop()
             order.append(at)
             for n in after.get(at, ()):
                 if n not in found:
                     found.add(n)
-                    stack.append(n)
+                    left.append(n)
         return pd.DataFrame({"id": order, "tree": tree, "at": range(len(order))})
 
     rows = edges.select("src", "dst", "tree").unionByName(members)
     ship(g.spark)
     walked = rows.groupBy("tree").applyInPandas(walk, "id long, tree long, at long")
-    return numbered(cut(walked), [F.col("tree"), F.col("at")], "pos").select("id", _root(start), "pos")
+    return numbered(cut(walked), [F.col("tree"), F.col("at")], "pos").select("id", _root(stack[0] if len(stack) == 1 else FIRST), "pos")
 
 
 def reachable(g: PropertyGraph, start: int) -> DataFrame:
     """Ids that can be reached from start, itself included."""
-    return trees(g, _start(g, start), True).select("id")
+    return trees(g, [_start(g, start)], True).select("id")
 
 
 class Traversal:

@@ -211,3 +211,92 @@ def test_incremental_components(spark, tmp_path):
     assert rows(state.components().select("id", "component")) == [(1, 1), (2, 1), (5, 1), (6, 1), (9, 1), (20, 20), (21, 20)]
     state.on_batch(spark.createDataFrame([(20, 1)], "src long, dst long"), 0)
     assert state.components().where(F.col("id") == 20).first()["component"] == 20
+
+
+def test_incremental_components_after_a_restart(spark, tmp_path, monkeypatch):
+    """Random batches, pieces brought together on the way; a new driver goes on with the state and skips a batch that it has."""
+    monkeypatch.setattr("graphloom.streaming.incremental.PIECES", 2)
+    r, links = random.Random(6), []
+    batches = [[(r.randrange(60), r.randrange(60)) for _ in range(9)] for _ in range(6)]
+    for k, b in enumerate(batches):
+        state = IncrementalComponents(spark, f"{tmp_path}/state")
+        assert state.done == (k - 1 if k else None)
+        state.on_batch(spark.createDataFrame(b, "src long, dst long"), k)
+        state.on_batch(spark.createDataFrame([(1000, 1001)], "src long, dst long"), k)
+        links += b
+        whole = K.components(graph(spark, [], list({(min(x), max(x)) for x in links}), False))
+        assert rows(state.components().select("id", "component")) == rows(whole.select("id", "component"))
+    # what a batch wrote before it failed doesn't count
+    state.scratch.keep(spark.createDataFrame([(7777, 7777)], "id long, component long"), f"ids-{state.version + 1}")
+    again = IncrementalComponents(spark, f"{tmp_path}/state")
+    assert again.version == state.version and again.components().where("id = 7777").isEmpty()
+    again.reset()
+    assert again.components().isEmpty() and IncrementalComponents(spark, f"{tmp_path}/state").version == 0
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_depth_first_goes_on_from_its_parts(spark, directed):
+    """After any number of steps, stack and undiscovered nodes give the rest of the order."""
+    for seed in (3, 8):
+        nodes, edges, start = random_graph(seed)
+        g = graph(spark, [(n, None) for n in nodes], edges, directed)
+        after = {n: set() for n in nodes}
+        for s, d in edges:
+            after[s].add(d)
+            if not directed:
+                after[d].add(s)
+        whole = walk(nodes, edges, directed, start, True)
+        todo, stack = set(nodes) - {start}, [start]
+        for step in range(5):
+            if not stack:
+                break
+            at = stack.pop()
+            new = sorted(after[at] & todo)
+            todo -= set(new)
+            stack += new
+            if step % 2:
+                left = spark.createDataFrame([(x,) for x in todo], "id long")
+                assert in_order(T.dfs_from_parts(g, stack, left)) == whole[step + 1 :], (seed, step)
+
+
+def test_levels_are_brought_together(spark, monkeypatch):
+    monkeypatch.setattr(T, "MERGE", 2)
+    chain = graph(spark, [], [(k, k + 1) for k in range(9)] + [(9, 0), (4, 1)])
+    found = T.bfs(chain, 3)
+    assert in_order(found) == walk(range(10), [(k, k + 1) for k in range(9)] + [(9, 0), (4, 1)], True, 3, False)
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_compact_lookups(spark, tmp_path, directed):
+    g = graph(spark, [(0, "b"), (1, "a"), (2, None), (3, "c")], [(0, 1, "a"), (0, 2, None), (2, 2, "b"), (1, 0, "c")] if directed else [(0, 1, "a"), (0, 2, None), (2, 2, "b")], directed)
+    snapshot.export_compact(g, f"{tmp_path}/c")
+    c = snapshot.CompactGraph(spark, f"{tmp_path}/c")
+    assert c.is_directed() == directed and c.node_count() == 4 and c.edge_count() == g.edge_count()
+    for a in range(5):
+        assert c.inner_neighbors(a) == ids(g.neighbors(a)) and c.inner_in_neighbors(a) == ids(g.in_neighbors(a)) and c.get_node_label(a) == g.get_node_label(a) and c.has_node(a) == g.has_node(a)
+        for b in range(5):
+            assert (c.has_edge(a, b), c.get_edge_label(a, b)) == (g.has_edge(a, b), g.get_edge_label(a, b)) and c.find_edge_index(a, b) == R.find_edge_index(g, a, b)
+
+
+def test_a_hub_of_many_links(spark, monkeypatch):
+    """A star of 10^5 leaves and a chain at one of them, with aggregates written before they are joined."""
+    monkeypatch.setattr(K, "SPLIT", 1000)
+    edges = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).unionByName(spark.range(100_000, 100_020).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    found = K.stars(edges)
+    assert found.count() == 100_021 and found.where("component <> 0").isEmpty()
+
+
+def test_csv_rows_count_in_file_order(spark, tmp_path):
+    """The last row of a key wins over several files and splits, whatever their sizes."""
+    lines = ["nodeId:ID,:LABEL"] + [f"{k % 50},v{k}" for k in range(4000)]
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "n" / "b.csv").write_text("nodeId:ID,:LABEL\n3,last\n")
+    (tmp_path / "e.csv").write_text(":START_ID,:END_ID,:TYPE\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = dict(rows(csv.read_csv_graph(spark, f"{tmp_path}/n", f"{tmp_path}/e.csv").nodes))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {k: f"v{3950 + k}" if k != 3 else "last" for k in range(50)}
