@@ -140,14 +140,14 @@ class Weights:
 
     @staticmethod
     def of(at: list[np.ndarray], toxic: np.ndarray, size: int) -> Weights:
-        every, bad = (np.bincount(np.concatenate([np.empty(0, np.int64), *rows]), minlength=size) for rows in (at, [a for a, y in zip(at, toxic) if y]))
+        every, bad = (np.bincount(np.concatenate([np.empty(0, np.int32), *rows]), minlength=size) for rows in (at, [a for a, y in zip(at, toxic) if y]))
         n, n_bad = len(at), int(toxic.sum())
         ratio = ((bad + 0.5) / (n_bad + 1)) / ((every - bad + 0.5) / (n - n_bad + 1))
         return Weights(np.maximum(np.log((n + 1) / (every + 0.5)), 0), np.where(bad >= 2, np.maximum(np.log(ratio / FLOOR), 0), 0.0))
 
     def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The terms that gain, and their TF-IDF weights in the vector of length one over all terms."""
-        w = (1 + np.log(n)) * self.idf[at]
+        w = (1 + np.log(n.astype(np.float64))) * self.idf[at]
         length, use = np.sqrt(w @ w), self.gain[at] > 0
         return at[use], w[use] / (length or 1.0)
 
@@ -210,11 +210,11 @@ class Model:
 def placed(vocabulary: np.ndarray, found: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in the sorted vocabulary of the terms that it has, and their counts."""
     if not len(vocabulary):
-        return np.empty(0, np.int64), np.empty(0)
+        return np.empty(0, np.int32), np.empty(0, np.float32)
     at = np.searchsorted(vocabulary, found)
     at[at == len(vocabulary)] = 0
     known = vocabulary[at] == found
-    return at[known], n[known].astype(np.float64)
+    return at[known].astype(np.int32), n[known].astype(np.float32)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, sample: int, sample_bytes: int) -> DataFrame:
@@ -240,17 +240,20 @@ def examples(rows: DataFrame) -> list[tuple]:
 
         return work
 
-    table = C.map_texts(rows, ["id", "toxic"], "text", make, C.struct(terms=C.BINARY, n=C.BINARY)).toArrow()
-    columns = [table.column(c).to_pylist() for c in ("id", "toxic", "terms", "n")]
-    return sorted(((i, y, np.frombuffer(t, np.uint64), np.frombuffer(n, np.uint32)) for i, y, t, n in zip(*columns)), key=lambda e: e[0])
+    found = C.map_texts(rows, ["id", "toxic"], "text", make, C.struct(terms=C.BINARY, n=C.BINARY))
+    # partition by partition, so that the JVM never holds them all
+    each = ((r["id"], r["toxic"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["n"], np.uint32)) for r in found.toLocalIterator())
+    return sorted(each, key=lambda e: e[0])
 
 
 def fitted(sample: list[tuple]) -> Model:
     """The model of a labelled sample (id, toxic, terms, counts)."""
     if not sample:
         return Model(np.empty(0, np.uint64), None, [], np.zeros(1), np.full(1, 0.5))
-    every = np.sort(np.concatenate([e[2] for e in sample]))
+    every = np.concatenate([e[2] for e in sample])
+    every.sort()
     vocabulary = every[1:][every[1:] == every[:-1]]
+    del every
     vocabulary = vocabulary[np.append(True, vocabulary[1:] != vocabulary[:-1])] if len(vocabulary) else vocabulary
     rows = [placed(vocabulary, t, n) for _, _, t, n in sample]
     toxic = np.array([e[1] > 0 for e in sample])
