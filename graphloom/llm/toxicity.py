@@ -25,11 +25,13 @@ gives an empty result. Other columns are kept or left unread, whatever their nam
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,13 +89,21 @@ class BlockMaxIndex:
     """Weights of examples by term; the postings of a term and block are a run that knows its greatest weight."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n = len(rows)
-        self.blocks = -(-self.n // BLOCK)
-        number = np.repeat(np.arange(self.n), [len(a) for a, _ in rows]).astype(np.int32)
-        term = np.concatenate([np.empty(0, np.int64), *(a for a, _ in rows)]).astype(np.int64)
-        weight = np.concatenate([np.empty(0), *(w for _, w in rows)])
+        number = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
+        term, weight = (np.concatenate([np.empty(0, kind), *(r[k] for r in rows)]) for k, kind in ((0, np.int64), (1, np.float64)))
+        self._build(len(rows), number, term, weight, n_terms)
+
+    @classmethod
+    def of(cls, n: int, number: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int) -> BlockMaxIndex:
+        """Of n examples, from the example, term and weight of every posting, examples ascending."""
+        index = cls.__new__(cls)
+        index._build(n, number, term, weight, n_terms)
+        return index
+
+    def _build(self, n: int, number: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int) -> None:
+        self.n, self.blocks = n, -(-n // BLOCK)
         order = np.argsort(term, kind="stable")
-        self.number, self.weight, term = number[order], weight[order], term[order]
+        self.number, self.weight, term = number[order].astype(np.int32), weight[order], term[order].astype(np.int64)
         key = term * max(self.blocks, 1) + self.number // BLOCK
         self.run = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
         self.block = self.number[self.run[:-1]] // BLOCK
@@ -131,6 +141,50 @@ class BlockMaxIndex:
         return ids, scores
 
 
+@dataclass
+class Sample:
+    """Labelled rows in flat arrays, so that their memory goes back when they do: the ids, whether each is toxic, and the terms
+    (or their places) and counts of all rows one after another."""
+
+    ids: list
+    toxic: np.ndarray
+    size: np.ndarray
+    terms: np.ndarray
+    n: np.ndarray
+
+    @staticmethod
+    def of(rows: Iterable[tuple[object, int, bytes, bytes]]) -> Sample:
+        """From id, toxic, terms (uint64) and counts (uint32) of each row; by id."""
+        ids, toxic, size, terms, n = [], [], [], bytearray(), bytearray()
+        for i, y, t, c in rows:
+            ids.append(i)
+            toxic.append(y > 0)
+            size.append(len(c) // 4)
+            terms += t
+            n += c
+        order = sorted(range(len(ids)), key=lambda k: ids[k])
+        size, ends = np.array(size, np.int64), np.cumsum(np.array(size, np.int64))
+        at = ragged(ends[order] - size[order], ends[order])
+        return Sample([ids[k] for k in order], np.array(toxic, bool)[order], size[order], np.frombuffer(terms, np.uint64)[at], np.frombuffer(n, np.uint32)[at].astype(np.float32))
+
+    def placed(self, vocabulary: np.ndarray) -> Sample:
+        """With places in the vocabulary for the terms that it has."""
+        row, kept, step = np.repeat(np.arange(len(self.ids)), self.size), [], 1 << 18
+        for k in range(0, len(self.terms), step):
+            at = np.searchsorted(vocabulary, self.terms[k : k + step])
+            at[at == len(vocabulary)] = 0
+            known = vocabulary[at] == self.terms[k : k + step] if len(vocabulary) else np.zeros(len(at), bool)
+            kept.append((at[known].astype(np.int32), np.flatnonzero(known) + k))
+        at = np.concatenate([np.empty(0, np.int32), *(a for a, _ in kept)])
+        left = np.concatenate([np.empty(0, np.int64), *(x for _, x in kept)])
+        return Sample(self.ids, self.toxic, np.bincount(row[left], minlength=len(self.ids)), at, self.n[left])
+
+    def some(self, use: np.ndarray) -> Sample:
+        """The rows marked in `use`."""
+        own = np.repeat(use, self.size)
+        return Sample([], self.toxic[use], self.size[use], self.terms[own], self.n[own])
+
+
 @dataclass
 class Weights:
     """What the terms of the vocabulary weigh; made of any rows of the sample."""
@@ -139,31 +193,42 @@ class Weights:
     gain: np.ndarray
 
     @staticmethod
-    def of(at: list[np.ndarray], toxic: np.ndarray, size: int) -> Weights:
-        every, bad = (np.bincount(np.concatenate([np.empty(0, np.int32), *rows]), minlength=size) for rows in (at, [a for a, y in zip(at, toxic) if y]))
-        n, n_bad = len(at), int(toxic.sum())
+    def of(sample: Sample, size: int) -> Weights:
+        every = np.bincount(sample.terms, minlength=size)
+        bad = np.bincount(sample.terms[np.repeat(sample.toxic, sample.size)], minlength=size)
+        n, n_bad = len(sample.toxic), int(sample.toxic.sum())
         ratio = ((bad + 0.5) / (n_bad + 1)) / ((every - bad + 0.5) / (n - n_bad + 1))
         return Weights(np.maximum(np.log((n + 1) / (every + 0.5)), 0), np.where(bad >= 2, np.maximum(np.log(ratio / FLOOR), 0), 0.0))
 
+    def weighed(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (1 + np.log(n.astype(np.float64))) * self.idf[at]
+
     def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The terms that gain, and their TF-IDF weights in the vector of length one over all terms."""
-        w = (1 + np.log(n.astype(np.float64))) * self.idf[at]
+        w = self.weighed(at, n)
         length, use = np.sqrt(w @ w), self.gain[at] > 0
         return at[use], w[use] / (length or 1.0)
 
 
 class Neighbours:
-    """An index over examples, toxic ones first; each class begins a block."""
+    """An index over a placed sample, toxic rows first; each class begins a block."""
 
-    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, size: int):
-        self.weights = Weights.of([a for a, _ in examples], toxic, size)
-        bad, good = np.flatnonzero(toxic), np.flatnonzero(~toxic)
+    def __init__(self, sample: Sample, size: int):
+        self.weights = Weights.of(sample, size)
+        bad, good = np.flatnonzero(sample.toxic), np.flatnonzero(~sample.toxic)
         gap = -len(bad) % BLOCK
-        #: The example behind each number of the index; between the classes are empty ones.
+        #: The row behind each number of the index; between the classes are empty ones.
         self.order = np.concatenate([bad, np.full(gap, -1), good]).astype(np.int64)
-        none = (np.empty(0, np.int64), np.empty(0))
-        self.index = BlockMaxIndex([self.weights.vector(*examples[i]) if i >= 0 else none for i in self.order.tolist()], size)
         self.middle = (len(bad) + gap) // BLOCK
+        row = np.repeat(np.arange(len(sample.toxic)), sample.size)
+        w = self.weights.weighed(sample.terms, sample.n)
+        length = np.sqrt(np.bincount(row, w * w, len(sample.toxic)))
+        use = np.flatnonzero(self.weights.gain[sample.terms] > 0)
+        number = np.empty(len(sample.toxic), np.int64)
+        number[bad], number[good] = np.arange(len(bad)), len(bad) + gap + np.arange(len(good))
+        use = use[np.argsort(number[row[use]], kind="stable")]
+        weight = w[use] / np.where(length > 0, length, 1.0)[row[use]]
+        self.index = BlockMaxIndex.of(len(self.order), number[row[use]], sample.terms[use], weight, size)
 
     def vote(self, at: np.ndarray, n: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
         """The neighbours' vote, and the neighbours (example, similarity) of either class."""
@@ -230,46 +295,42 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     return rows.join(F.broadcast(fits.where(F.col("held") <= sample_bytes).select("id")), "id", "left_semi")
 
 
-def examples(rows: DataFrame) -> list[tuple]:
-    """id, toxic, terms, counts of the sample's rows, by id."""
-
-    def make() -> Callable[[list[str]], dict[str, list]]:
-        def work(texts: list[str]) -> dict[str, list]:
-            found = [term_counts(t) for t in texts]
-            return {"terms": [a.tobytes() for a, _ in found], "n": [n.astype(np.uint32).tobytes() for _, n in found]}
-
-        return work
-
-    found = C.map_texts(rows, ["id", "toxic"], "text", make, C.struct(terms=C.BINARY, n=C.BINARY))
-    # partition by partition, so that the JVM never holds them all
-    each = ((r["id"], r["toxic"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["n"], np.uint32)) for r in found.toLocalIterator())
-    return sorted(each, key=lambda e: e[0])
-
-
-def fitted(sample: list[tuple]) -> Model:
-    """The model of a labelled sample (id, toxic, terms, counts)."""
-    if not sample:
+def fitted(sample: Sample) -> Model:
+    if not sample.ids:
         return Model(np.empty(0, np.uint64), None, [], np.zeros(1), np.full(1, 0.5))
-    every = np.concatenate([e[2] for e in sample])
-    every.sort()
+    every = np.sort(sample.terms)
     vocabulary = every[1:][every[1:] == every[:-1]]
-    del every
     vocabulary = vocabulary[np.append(True, vocabulary[1:] != vocabulary[:-1])] if len(vocabulary) else vocabulary
-    rows = [placed(vocabulary, t, n) for _, _, t, n in sample]
-    toxic = np.array([e[1] > 0 for e in sample])
-    fold = mixed(np.array([crc32(str(e[0]).encode()) for e in sample], np.uint64)) % np.uint64(FOLDS)
-    votes = np.zeros(len(rows))
+    del every
+    rows = sample.placed(vocabulary)
+    ends = np.cumsum(rows.size)
+    fold = mixed(np.array([crc32(str(i).encode()) for i in rows.ids], np.uint64)) % np.uint64(FOLDS)
+    votes = np.zeros(len(rows.ids))
     for k in range(FOLDS):
-        own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
-        if len(own) and len(rest):
-            others = Neighbours([rows[i] for i in rest], toxic[rest], len(vocabulary))
-            votes[own] = [others.vote(*rows[i])[0] for i in own]
-    steps, values = isotonic(votes, toxic.astype(float), float(toxic.mean()), 1.0)
-    return Model(vocabulary, Neighbours(rows, toxic, len(vocabulary)), [e[0] for e in sample], steps, values)
+        own = np.flatnonzero(fold == k)
+        if 0 < len(own) < len(rows.ids):
+            others = Neighbours(rows.some(fold != k), len(vocabulary))
+            votes[own] = [others.vote(rows.terms[z - m : z], rows.n[z - m : z])[0] for z, m in zip(ends[own], rows.size[own])]
+    steps, values = isotonic(votes, rows.toxic.astype(float), float(rows.toxic.mean()), 1.0)
+    return Model(vocabulary, Neighbours(rows, len(vocabulary)), rows.ids, steps, values)
 
 
 def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    return fitted(examples(labelled_sample(docs, labels, doc_id, text, toxic, sample, sample_bytes)))
+    """The model of the labelled sample, fitted by one task, so that the sample never comes to the driver."""
+    rows = labelled_sample(docs, labels, doc_id, text, toxic, sample, sample_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple[object, int, bytes, bytes]]:
+            for batch in batches:
+                for i, y, t in zip(*(c.to_pylist() for c in batch.columns)):
+                    found, n = term_counts(t)
+                    yield i, y, found.tobytes(), n.astype(np.uint32).tobytes()
+
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(Sample.of(each())))], pa.binary())], names=["model"])
+
+    C.small_batches(docs.sparkSession)
+    made = rows.select("id", "toxic", "text").coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else fitted(Sample.of([]))
 
 
 def scored(docs: DataFrame, carry: list[str], model: Model, text: str = "text", score: str = "score", evidence: str = "evidence") -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import corpus_pipeline as P
 from graphloom.llm import common, pieces, pii, simhash, toxicity
 
-from .test_text_operators import base_spans, distance_in, plain_redacted, plain_vote
+from .test_text_operators import as_sample, base_spans, distance_in, plain_redacted, plain_vote
 
 SF = "/root/testdata/sf0.001"
 
@@ -118,7 +118,7 @@ def test_all_stages_like_plain_python(spark, tmp_path):
     for i, y in use:
         distinct.setdefault((texts[i], y), i)
     sample = [(texts[i], y) for (_, y), i in sorted(distinct.items(), key=lambda x: x[1])]
-    model = toxicity.fitted([(i, y, *toxicity.term_counts(t)) for i, (t, y) in zip(sorted(distinct.values()), sample)])
+    model = toxicity.fitted(as_sample((i, t, y) for i, (t, y) in zip(sorted(distinct.values()), sample)))
     kept = {i: t for i, t in texts.items() if np.interp(plain_vote(sample, t or ""), model.steps, model.values) < 0.7}
     counts = [len(texts), len(kept)]
     order = sorted(kept)

@@ -391,11 +391,16 @@ def plain_vote(sample, text):
     return (sum(sorted(cosines[1])[-15:]) - sum(sorted(cosines[0])[-15:])) / 15
 
 
+def as_sample(rows):
+    own = [(i, y, *toxicity.term_counts(t)) for i, t, y in rows]
+    return toxicity.Sample.of((i, y, t.tobytes(), n.astype(np.uint32).tobytes()) for i, y, t, n in own)
+
+
 def test_votes_like_plain_cosines(monkeypatch):
     r = random.Random(4)
     word = lambda bad: r.choice(["drubzik", "drubzikovic", "Vexé", "the"] if r.random() < bad else ["the", "and", "é", "x1"]) if r.random() < 0.6 else "".join(r.choice("abcde") for _ in range(r.randint(1, 8)))
     texts = [(" ".join(word(0.4 * (i % 3 == 0)) for _ in range(r.randint(0, 60))) + r.choice(["", "!", "\n"]), int(i % 3 == 0)) for i in range(240)]
-    model = toxicity.fitted([(i, y, *toxicity.term_counts(t)) for i, (t, y) in enumerate(texts[:200])])
+    model = toxicity.fitted(as_sample((i, t, y) for i, (t, y) in enumerate(texts[:200])))
     some = [toxicity.term_counts(t) for t, _ in texts[200:]]
     for (t, _), found in zip(texts[200:], some):
         assert model.near.vote(*toxicity.placed(model.vocabulary, *found))[0] == pytest.approx(plain_vote(texts[:200], t), abs=1e-12)
