@@ -15,8 +15,8 @@ Two steps keep the sort small without losing a match.
   its right, which the sort finds, and to its left, which hashes of the left bytes within stretches of equal
   right bytes find, offset by offset.
 * Anchors whose gram occurs once can't lie in a repeat, and anchors with equal surroundings (128-bit hashes)
-  are one suffix with a number. So copies of documents or passages cost one suffix, and the counts are summed
-  before they are shuffled. A suffix with an equal one elsewhere needs no merge to be known as repeated.
+  are one suffix with a number. So copies of passages cost one suffix, and the counts are summed
+  before they are shuffled. Copies of whole texts are one text with a number before any of that. A suffix with an equal one elsewhere needs no merge to be known as repeated.
 
 A task merges the suffixes of a range of leading grams; those that share their first GRAM bytes in different
 surroundings meet in one task, in which they cost n log n.
@@ -129,25 +129,26 @@ def _places(docs: DataFrame, text: str, grams_only: bool) -> DataFrame:
 
 
 def _surroundings(joined: DataFrame) -> DataFrame:
-    """Of texts with their places: k1, k2, place, gram bytes' surroundings and their hash."""
+    """Of texts with their places and copies: k1, k2, copies, place, the bytes around it and their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            k1, k2, place, full, around = [], [], [], [], []
-            for a, c, t, some in zip(*(b.column(i).to_pylist() for i in range(4))):
+            k1, k2, copies, place, full, around = [], [], [], [], [], []
+            for a, c, t, some, many in zip(*(b.column(i).to_pylist() for i in range(5))):
                 for p in some:
                     at, low, high = p >> 16, p >> 8 & 255, p & 255
                     s = t[at - high : at + LENGTH - low]
                     k1.append(a)
                     k2.append(c)
+                    copies.append(many)
                     place.append(p)
                     around.append(s)
                     full.append(xxhash.xxh3_128_digest(s, seed=high))
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(place, pa.int64()), pa.array(full, pa.binary()), pa.array(around, pa.binary())], names=["k1", "k2", "place", "full", "around"])
+            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(copies, pa.int64()), pa.array(place, pa.int64()), pa.array(full, pa.binary()), pa.array(around, pa.binary())], names=["k1", "k2", "copies", "place", "full", "around"])
 
-    return joined.mapInArrow(run, "k1 long, k2 long, place long, full binary, around binary")
+    return joined.mapInArrow(run, "k1 long, k2 long, copies long, place long, full binary, around binary")
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -339,10 +340,12 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     # what is joined is written first: Spark splits a hot side only where both sides come straight from their exchanges
     grams = scratch.keep(_places(docs, text, True).groupBy("gram").count().where("count > 1").select("gram"), "grams")
     some = scratch.keep(_places(docs, text, False).join(grams, "gram").groupBy("k1", "k2").agg(F.collect_set("place").alias("some")), "some")
-    found = scratch.keep(_surroundings(_keyed(docs, text).join(some, ["k1", "k2"]).select("k1", "k2", "bytes", "some")), "found")
+    # of equal texts one is cut up, with their number; they are brought together before they are exchanged
+    texts = _keyed(docs, text).groupBy("k1", "k2").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
+    found = scratch.keep(_surroundings(texts.join(some, ["k1", "k2"]).select("k1", "k2", "bytes", "some", "copies")), "found")
     scratch.drop("grams")
     scratch.drop("some")
-    single = scratch.keep(found.groupBy("full").agg(F.count("*").alias("n"), F.min("around").alias("around"), F.min(F.col("place").bitwiseAND(65535)).alias("place")), "single")
+    single = scratch.keep(found.groupBy("full").agg(F.sum("copies").alias("n"), F.min("around").alias("around"), F.min(F.col("place").bitwiseAND(65535)).alias("place")), "single")
     # grams that stand in one surrounding only are known already
     gram = F.xxhash64(F.substring("around", F.col("place").bitwiseAND(255).cast("int") + 1, F.lit(GRAM)))
     several = single.groupBy(gram.alias("gram")).count().where("count > 1").select("gram")
