@@ -9,6 +9,9 @@ space as one space.
 The items go to the executors in blocks of BLOCK_CHARS characters at most, one pass over the documents
 for each block, so what is broadcast is bounded whatever the number of items.
 
+An item of under CHARS_PER_EDIT characters may have no edit, and must stand as whole words. It still counts: an item
+"the" is in every text that has that word, so leave such items out of the table if they aren't meant.
+
 Null and empty texts hold no item; null and empty items are in no text. An item without id is
 searched for as any other and reported with a null id. Items with equal text are
 reported each under its own id, repeated documents each in their own row. Of several passages of an item
@@ -78,6 +81,12 @@ def best_distance(masks: dict[str, int], size: int, text: str) -> int:
     return best
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on beyond either end."""
+    goes_on = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not goes_on(start) and not goes_on(end)
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
         import ahocorasick
@@ -110,11 +119,13 @@ class Matcher:
                     continue
                 item, edits = self.items[k]
                 start = last - size + 1 - at
+                if not edits:
+                    if start >= 0 and text.startswith(item, start) and whole_words(text, start, start + len(item)):
+                        best[k] = 0
+                    continue
                 if start >= 0 and text.startswith(item, start):
                     best[k] = 0
                     continue
-                if not edits:
-                    continue
                 low, high = max(0, start - edits), start + len(item) + edits
                 if k in seen and seen[k][0] <= low and high <= seen[k][1]:
                     continue

@@ -285,6 +285,12 @@ def test_clean_keeps_the_rest(spark, odd):
 # 4 token counts
 
 
+def test_short_items_are_whole_words():
+    m = decontam.Matcher([(1, "art"), (2, "4 × 5"), (3, "")], 12)
+    assert m.hits("start the party, apart") == [] and m.hits("14 × 56") == []
+    assert m.hits("Party of ART.") == [{"item_id": 1, "distance": 0}] and m.hits("say 4 × 5?") == [{"item_id": 2, "distance": 0}] == m.hits("4 × 5")
+
+
 def test_items_without_id_count(spark):
     items = spark.createDataFrame([(None, "the one the two"), (4, "é😀 中文 +1"), (None, None)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "see the one the two"), (2, "é😀 中文 +1"), (3, "clean")], "doc_id long, text string")
