@@ -194,11 +194,11 @@ def scored(docs: DataFrame, labels: DataFrame, carry: list[str], doc_id: str = "
     buckets = 1 << max(0, (size // BUCKET_BYTES).bit_length())
     # the labels have no size bound, so they are never broadcast
     joined = read.hint("merge").join(said.where("__good").hint("merge"), "__id", "left")
-    made = settled(scratch, asked(joined, carry, buckets), "asked")
+    made = C.settled(scratch, asked(joined, carry, buckets), "asked")
     # in turns, so that only some of the keys lie on the disks twice
-    turns = [settled(scratch, answered(made.where((F.col("__kind") != DOCUMENT) & (F.col("__bucket") % TURNS == k)).select(*ASK_COLUMNS)), f"answers{k}") for k in range(min(TURNS, buckets))]
+    turns = [C.settled(scratch, answered(made.where((F.col("__kind") != DOCUMENT) & (F.col("__bucket") % TURNS == k)).select(*ASK_COLUMNS)), f"answers{k}") for k in range(min(TURNS, buckets))]
     answers = reduce(DataFrame.unionByName, turns)
-    rows = settled(scratch, made.where(F.col("__kind") == DOCUMENT), "rows")
+    rows = C.settled(scratch, made.where(F.col("__kind") == DOCUMENT), "rows")
     scratch.drop("asked")
     sums = answers.where(F.col("__chunk").isNull() & (F.col("__kind") == WORDS)).agg(*[F.coalesce(F.sum(F.col("__sums")[k]), F.lit(0)) for k in range(3)]).first()
     n_words, totals = sums[0], (sums[1], sums[2])
@@ -228,14 +228,3 @@ def scored(docs: DataFrame, labels: DataFrame, carry: list[str], doc_id: str = "
 
     replies = answers.where(F.col("__chunk").isNotNull()).select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in carry], "__kind", "__chunk", "__bucket", "__keys", "__target", "__background")
     return rows.unionByName(replies).groupBy("__chunk").applyInArrow(run, out)
-
-
-def settled(scratch: Scratch, df: DataFrame, name: str) -> DataFrame:
-    """scratch.keep(), after which the rows that were shuffled for it go from the disks."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
-    try:
-        return scratch.keep(df, name)
-    finally:
-        conf.set(key, before) if before is not None else conf.unset(key)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import stars
-from ..scratch import cut
+from ..scratch import Scratch, cut
 from . import common as C
 from . import simhash
 from .words import mixed
@@ -147,10 +147,12 @@ def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     close = cut(by_fingerprint(found.select("fp", "code")))
     needed = members.select("fp").union(close.select("src")).union(close.select("dst")).distinct()
     own = prints(docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")), ["text"], "text", "fp")
-    texts = cut(own.join(needed.hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")))
+    # texts are moved in these steps alone; their exchanged rows go from the disks once a step is written
+    scratch = Scratch(docs.sparkSession)
+    texts = C.settled(scratch, own.join(needed.hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")), "texts")
     led = members.where("first < fp").select(F.col("first").alias("src"), F.col("fp").alias("dst"))
     tried = cut(led.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst").unionByName(close).distinct())
-    near = cut(judged(tried, texts))
+    near = C.settled(scratch, judged(tried, texts), "tried")
     for step in ("led", "apart"):
         rooted = cut(stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root")))
         root = lambda c: rooted.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}"))
@@ -161,7 +163,8 @@ def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             more = apart(placed(members.select("band", "value", "fp"), "fp").withColumnRenamed("root_fp", "root"), found)
         more = cut(more.join(tried, ["src", "dst"], "left_anti"))
         tried = tried.unionByName(more)
-        near = cut(near.unionByName(judged(more, texts)))
+        near = near.unionByName(C.settled(scratch, judged(more, texts), step))
+    scratch.drop("texts")
     return stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root"))
 
 
