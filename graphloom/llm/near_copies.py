@@ -8,9 +8,8 @@ similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS, so a pair a
 times in a million, and nearer ones less. Each candidate pair is judged by the exact similarity of its two sets,
 unless its ends are already in one component by other pairs, where the answer changes nothing. So that groups don't
 cost the square of their size, every set is first judged against the least one of its fingerprint, fingerprints by
-their least sets, and every set against one other of its bands; then against the least set of each of its bands; and
-then only sets of one band that still are in different components are paired, if a sketch of two bits of each of the
-160 least hashes doesn't rule them out (it does so for a pair at SIMILARITY less than once in a million times).
+their least sets, and every set against one other of its bands; then against the least set of each of its bands. What
+then still shares a band with another component goes through an exact join by prefixes and places (apart).
 
 Equal sets are one; only sets that share a band with another have their texts moved. Null and empty texts are
 the empty set. A component stays with one row, the least by (doc_id, text), null ids last.
@@ -33,9 +32,6 @@ from .words import mixed
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 32, 5
-#: Words of a plane of the sketch, and the min-hashes (of 160) that must agree in both bits for a pair to be judged: sets
-#: at SIMILARITY agree in 136 on average, with a standard deviation of 4.5.
-WORDS, AGREE = 3, 112
 #: Shingles that are hashed at once.
 PIECE = 1 << 12
 _MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -76,37 +72,27 @@ def bands_of(least: np.ndarray) -> np.ndarray:
     return mixed((least.reshape(BANDS, ROWS) * _PLACES).sum(1, dtype=np.uint64))
 
 
-def sketch_of(least: np.ndarray) -> np.ndarray:
-    """Two bits of each min-hash, in two planes of WORDS words."""
-    planes = np.zeros((2, WORDS * 64), np.uint8)
-    for k in (0, 1):
-        planes[k, : len(least)] = (least >> np.uint64(k)).astype(np.uint8) & 1
-    return np.packbits(planes, axis=1).view(np.int64).ravel()
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def prints(docs: DataFrame, carry: list[str], text: str, fp: str, bands: str = "", code: str = "") -> DataFrame:
-    """Every row's `carry` columns, its set's key as a (signed) long, and its bands (with a sketch of the same min-hashes) and SimHash if named."""
+    """Every row's `carry` columns, its set's key as a (signed) long, and its bands and SimHash if named."""
 
     def make() -> Callable[[list[str]], dict[str, list]]:
         def work(texts: list[str]) -> dict[str, list]:
             sets = [shingles(t) for t in texts]
             made = {fp: np.array([key_of(s) for s in sets], np.uint64).view(np.int64)}
             if bands:
-                least = [least_hashes(s) for s in sets]
-                made[bands] = [bands_of(x).view(np.int64) for x in least]
-                made["sketch"] = [sketch_of(x) for x in least]
+                made[bands] = [bands_of(least_hashes(s)).view(np.int64) for s in sets]
             if code:
                 made[code] = np.array([simhash.of_hashes([s]) for s in sets], np.uint64).view(np.int64)
             return made
 
         return work
 
-    out = [T.StructField(fp, C.LONG)] + ([T.StructField(bands, T.ArrayType(C.LONG)), T.StructField("sketch", T.ArrayType(C.LONG))] if bands else []) + ([T.StructField(code, C.LONG)] if code else [])
+    out = [T.StructField(fp, C.LONG)] + ([T.StructField(bands, T.ArrayType(C.LONG))] if bands else []) + ([T.StructField(code, C.LONG)] if code else [])
     return C.map_texts(docs, carry, text, make, T.StructType(out))
 
 
@@ -140,7 +126,7 @@ def by_fingerprint(found: DataFrame) -> DataFrame:
 
 
 def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """fp, root for every set that is near to another. found: fp, bands, sketch, code, a row for each set."""
+    """fp, root for every set that is near to another. found: fp, bands, code, a row for each set."""
     every = found.select("fp", F.posexplode("bands").alias("band", "value"))
     shared = every.groupBy("band", "value").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first < last")
     members = cut(every.join(shared, ["band", "value"]).select("band", "value", "first", "fp"))
@@ -160,7 +146,7 @@ def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         if step == "led":
             more = placed(placed(led.distinct(), "src"), "dst").where("root_src <> root_dst").select("src", "dst")
         else:
-            more = apart(placed(members.select("band", "value", "fp"), "fp").withColumnRenamed("root_fp", "root"), found)
+            more = apart(placed(members.select("band", "value", "fp"), "fp").withColumnRenamed("root_fp", "root"), texts, scratch)
         more = cut(more.join(tried, ["src", "dst"], "left_anti"))
         tried = tried.unionByName(more)
         near = near.unionByName(C.settled(scratch, judged(more, texts), step))
@@ -168,22 +154,36 @@ def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root"))
 
 
-def apart(named: DataFrame, found: DataFrame) -> DataFrame:
-    """src, dst: the pairs that share a band, have different roots, and whose sketches agree; each in the first band that
-    they share. The join itself asks all that, so that only such pairs are ever rows. named: band, value, fp, root."""
+def apart(named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """src, dst: pairs that may be near, among the sets that share a band with a set of another root, roots unlike.
+
+    A join by prefixes and places, which loses no pair: shingles are put in one order, the rarest first. Two near sets have
+    a shingle in common among the first of either, and from the first one that they have in common on both must be long
+    enough for the overlap that they need. Edits come first in that order, so what many copies share meets nothing.
+    named: band, value, fp, root.
+    """
     both = named.groupBy("band", "value").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "value")
-    some = cut(named.join(both, ["band", "value"]).join(found.select("fp", "bands", "sketch"), "fp"))
-    side = lambda x: some.select("band", "value", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "root", "bands", "sketch")])
-    same = lambda k: F.bitwise_not(F.get("sketch_x", F.lit(k)).bitwiseXOR(F.get("sketch_y", F.lit(k))))
-    agree = sum((F.bit_count(same(k).bitwiseAND(same(k + WORDS))) for k in range(1, WORDS)), F.bit_count(same(0).bitwiseAND(same(WORDS))))
-    first = F.array_position(F.zip_with("bands_x", "bands_y", lambda p, q: p == q), True) == F.col("band") + 1
-    unused = WORDS * 64 - BANDS * ROWS
-    pairs = side("x").join(side("y"), ["band", "value"]).where((F.col("root_x") < F.col("root_y")) & (agree >= AGREE + unused) & first)
-    return pairs.select(F.least("fp_x", "fp_y").alias("src"), F.greatest("fp_x", "fp_y").alias("dst"))
+    some = named.join(both, ["band", "value"]).select("fp", "root").distinct()
+
+    def make() -> Callable[[list[str]], dict[str, list]]:
+        return lambda rows: {"own": [shingles(t).view(np.int64) for t in rows]}
+
+    sets = C.map_texts(some.join(texts.hint("merge"), "fp"), ["fp", "root"], "text", make, C.struct(own=T.ArrayType(C.LONG)))
+    sets = C.settled(scratch, sets, "sets")
+    every = sets.select("fp", "root", F.size("own").alias("n"), F.explode("own").alias("h"))
+    often = every.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
+    ranked = every.join(often.hint("merge"), "h", "left").groupBy("fp", "root", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "h"))).alias("order"))
+    first = F.slice("order", F.lit(1), F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9).cast("int") + 1)
+    tokens = C.settled(scratch, ranked.select("fp", "root", "n", F.posexplode(first).alias("at", "x")).where("x.times > 1").select("fp", "root", "n", "at", F.col("x.h").alias("h")), "tokens")
+    side = lambda x: tokens.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "root", "n", "at")])
+    overlap = (F.col("n_x") + F.col("n_y")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
+    enough = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= overlap
+    pairs = side("x").join(side("y"), "h").where((F.col("root_x") < F.col("root_y")) & enough)
+    return pairs.select(F.least("fp_x", "fp_y").alias("src"), F.greatest("fp_x", "fp_y").alias("dst")).distinct()
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, as they are: of each component the one with the least (doc_id, text), once."""
-    found = cut(prints(docs, [doc_id], text, "fp", "bands", "code").groupBy(F.col("fp")).agg(F.min(doc_id).alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("code").alias("code")))
+    found = cut(prints(docs, [doc_id], text, "fp", "bands", "code").groupBy(F.col("fp")).agg(F.min(doc_id).alias("least"), F.first("bands").alias("bands"), F.first("code").alias("code")))
     joined = found.join(components(found, docs, text), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return C.one_each(docs, prints(docs, docs.columns, text, C.fresh(docs, "fp")), C.fresh(docs, "fp"), joined, doc_id, text)

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
-from graphloom.llm import common, pieces, pii, simhash, toxicity
+from graphloom.llm import common, near_copies, pieces, pii, simhash, toxicity
+from graphloom.scratch import Scratch
 
 from .test_text_operators import as_sample, base_spans, distance_in, plain_redacted, plain_vote
 
@@ -94,6 +95,25 @@ def test_near_copies_like_brute_force(spark):
     assert got.columns == docs.columns and sorted(x["doc_id"] for x in got.collect()) == want
 
 
+def test_pairs_of_a_family_by_prefixes_and_places(spark):
+    """Of a family whose copies differ by many edits: no near pair is lost, and few others are judged."""
+    r = random.Random(11)
+    base, texts = [f"w{k}" for k in range(120)], set()
+    for _ in range(260):
+        new = list(base)
+        for _ in range(r.randint(0, 14)):
+            new[r.randrange(len(new))] = r.choice(["the", "of", "and", "x1", "x2", "x3", "x4", "x5"])
+        texts.add(" ".join(new[r.randint(0, 3) : len(new) - r.randint(0, 3)]))
+    sets = [near_copies.shingles(t) for t in texts]
+    keys = [int(np.array([near_copies.key_of(x)], np.uint64).view(np.int64)[0]) for x in sets]
+    near = {(min(a, b), max(a, b)) for i, (a, x) in enumerate(zip(keys, sets)) for b, y in list(zip(keys, sets))[:i] if near_copies.similarity(x, y) >= 0.8}
+    named = spark.createDataFrame([(0, 1, k, k) for k in keys], "band int, value long, fp long, root long")
+    found = near_copies.apart(named, spark.createDataFrame(list(zip(keys, texts)), "fp long, text string"), Scratch(spark))
+    pairs = {(x["src"], x["dst"]) for x in found.collect()}
+    every = len(keys) * (len(keys) - 1) // 2
+    assert near <= pairs and len(near) > 1000 and len(pairs) - len(near) < 0.25 * (every - len(near)), (len(near), len(pairs), every)
+
+
 def test_all_stages_like_plain_python(spark, tmp_path):
     """run() over a small folder, against each stage's plain version on what the one before keeps."""
     import sentencepiece
