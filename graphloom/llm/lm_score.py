@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import Scratch
+from ..scratch import Scratch, cut
 from . import common as C
 from .words import mixed, word_hashes
 
@@ -39,6 +39,8 @@ VOCABULARY, PAIRS = 1 << 18, 1 << 21
 #: What a task scores together, and bytes of text for each bucket of keys.
 CHUNK_CHARS, CHUNK_ROWS, BUCKET_BYTES = 4 << 20, 1 << 14, 16 << 20
 TURNS = 4
+#: Good documents whose ids are broadcast at most.
+FEW = 1_000_000
 ASK_COLUMNS = ("__kind", "__chunk", "__bucket", "__keys", "__target", "__background")
 #: Weight of the pair counts against the word counts, and of the word counts against equal shares. Weights, unlike
 #: added counts, mean the same for corpora of different sizes.
@@ -192,8 +194,10 @@ def scored(docs: DataFrame, labels: DataFrame, carry: list[str], doc_id: str = "
     read = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(doc_id).alias("__id"), body.alias("__text"))
     size = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
     buckets = 1 << max(0, (size // BUCKET_BYTES).bit_length())
-    # the labels have no size bound, so they are never broadcast
-    joined = read.hint("merge").join(said.where("__good").hint("merge"), "__id", "left")
+    good = cut(said.where("__good"))
+    # labels have no size bound: they are broadcast only where they are few, else texts are moved to them
+    few = good.count() <= FEW
+    joined = read.join(F.broadcast(good), "__id", "left") if few else read.hint("merge").join(good.hint("merge"), "__id", "left")
     made = C.settled(scratch, asked(joined, carry, buckets), "asked")
     # in turns, so that only some of the keys lie on the disks twice
     turns = [C.settled(scratch, answered(made.where((F.col("__kind") != DOCUMENT) & (F.col("__bucket") % TURNS == k)).select(*ASK_COLUMNS)), f"answers{k}") for k in range(min(TURNS, buckets))]

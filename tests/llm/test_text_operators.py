@@ -475,8 +475,10 @@ def test_scores_prefer_the_target(spark, odd, labels):
     assert lm_score.scored(odd.limit(0), labels.limit(0), ["doc_id"]).count() == 0
 
 
-def test_scores_are_of_exact_counts(spark, monkeypatch):
-    """More pairs than a table of fixed size tells apart, in several chunks and buckets, like plain counting."""
+@pytest.mark.parametrize("few", [0, 1000])
+def test_scores_are_of_exact_counts(spark, monkeypatch, few):
+    """More pairs than a table of fixed size tells apart, in several chunks and buckets, like plain counting; labels broadcast and not."""
+    monkeypatch.setattr(lm_score, "FEW", few)
     monkeypatch.setattr(lm_score, "CHUNK_CHARS", 3000)
     monkeypatch.setattr(lm_score, "BUCKET_BYTES", 20_000)
     r = random.Random(6)
