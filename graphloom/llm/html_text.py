@@ -121,7 +121,9 @@ def lines_of(html: str) -> list[Line]:
             if level and not marks and COMMENTS.fullmatch(text):
                 comments = (len(open_blocks) - 1, level)
             # what stands between links alone, such as bars, is no text
-            lines.append(Line(text, len(out) if out == text or any(c.isalnum() for c in out) else 0, marks > 0 or comments is not None, next((i for i in inside if i > 0), inside[0] if inside else 0), level > 0))
+            size = len(out) if out == text or any(c.isalnum() for c in out) else 0
+            article = next((i for i in inside if i > 0), inside[0] if inside else 0)
+            lines.append(Line(text, size, marks > 0 or comments is not None, article, level > 0))
         run.clear()
         free.clear()
 

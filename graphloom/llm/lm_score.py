@@ -213,11 +213,12 @@ def scored(docs: DataFrame, labels: DataFrame, carry: list[str], doc_id: str = "
         kind = np.array(table.column("__kind").to_pylist())
         bucket = np.array(table.column("__bucket").to_pylist(), float)
         sides = []
+        of_kind = {k: sorted(np.flatnonzero(kind == k).tolist(), key=lambda i: bucket[i]) for k in (WORDS, PAIRS_OF)}
         for name, total in zip(("__target", "__background"), totals):
             column = table.column(name)
-            counts = [np.concatenate([np.empty(0, np.int64), *(unpacked(column[int(i)].as_py(), np.int64) for i in sorted(np.flatnonzero(kind == k), key=lambda i: bucket[i]))]) for k in (WORDS, PAIRS_OF)]
+            counts = [np.concatenate([np.empty(0, np.int64), *(unpacked(column[i].as_py(), np.int64) for i in own)]) for own in of_kind.values()]
             sides.append(log_model(*counts, total, n_words))
-        keys = np.concatenate([np.empty(0, np.uint64), *(unpacked_keys(table.column("__keys")[int(i)].as_py()) for i in sorted(np.flatnonzero(kind == WORDS), key=lambda i: bucket[i]))])
+        keys = np.concatenate([np.empty(0, np.uint64), *(unpacked_keys(table.column("__keys")[i].as_py()) for i in of_kind[WORDS])])
         docs_of = table.take(pa.array(np.flatnonzero(kind == DOCUMENT)))
         places = [unpacked(w.as_py(), np.int32) for w in docs_of.column("__keys")]
         size = np.array([len(w) for w in places], np.int64)
@@ -230,5 +231,6 @@ def scored(docs: DataFrame, labels: DataFrame, carry: list[str], doc_id: str = "
                 into.append(v)
         return pa.Table.from_arrays([docs_of.column(c) for c in range(n)] + [pa.array(v, t) for v, t in zip(made, kinds[n:])], names=out.fieldNames())
 
-    replies = answers.where(F.col("__chunk").isNotNull()).select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in carry], "__kind", "__chunk", "__bucket", "__keys", "__target", "__background")
+    none = [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in carry]
+    replies = answers.where(F.col("__chunk").isNotNull()).select(*none, *ASK_COLUMNS[:3], "__keys", "__target", "__background")
     return rows.unionByName(replies).groupBy("__chunk").applyInArrow(run, out)

@@ -115,7 +115,8 @@ def _luhn(digits: Column) -> Column:
     """Of at most LONGEST digits; more are no card number."""
     code = F.split(F.reverse(digits), "(?!$)")
     double = lambda d: F.when(d > 4, d * 2 - 9).otherwise(d * 2)
-    added = lambda c: F.aggregate(F.transform(c, lambda x, k: F.when(k % 2 == 1, double(x.try_cast("int"))).otherwise(x.try_cast("int"))), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
+    weighed = lambda x, k: F.when(k % 2 == 1, double(x.try_cast("int"))).otherwise(x.try_cast("int"))
+    added = lambda c: F.aggregate(F.transform(c, weighed), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
     return (F.length(digits) > 0) & (F.length(digits) <= LONGEST) & (added(code) % 10 == 0)
 
 
@@ -152,8 +153,11 @@ def _candidates(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
     step = step.select("row", "text", *[F.when(needs[k], _marked(k, F.col("text"))).alias(f"m_{k}") for k in KINDS])
     rest = lambda k: F.when(F.col(f"m_{k}").isNotNull(), _masked(F.col(f"m_{k}"), BASE[k]))
     plain = lambda k, c: F.translate(c, DOT, ".") if k == "email" else F.translate(c, MARK, " ") if k == "card" else c
-    step = step.select("row", *[F.coalesce(F.when(F.col(f"m_{k}").isNotNull(), _spans(F.col(f"m_{k}"), BASE[k])), _none()).alias(f"all_{k}") for k in KINDS], *[F.coalesce(plain(k, rest(k)), F.col("text")).alias(f"r_{k}") for k in KINDS])
-    step = step.select("row", *[f"all_{k}" for k in KINDS], *[F.when(F.col(f"r_{k}").rlike(LOOSE_NEEDS[k]), _spans(F.col(f"r_{k}"), LOOSE[k])).otherwise(_none()).alias(f"loose_{k}") for k in KINDS])
+    found = lambda k: F.coalesce(F.when(F.col(f"m_{k}").isNotNull(), _spans(F.col(f"m_{k}"), BASE[k])), _none())
+    remains = [F.coalesce(plain(k, rest(k)), F.col("text")).alias(f"r_{k}") for k in KINDS]
+    step = step.select("row", *[found(k).alias(f"all_{k}") for k in KINDS], *remains)
+    loose = lambda k: F.when(F.col(f"r_{k}").rlike(LOOSE_NEEDS[k]), _spans(F.col(f"r_{k}"), LOOSE[k])).otherwise(_none())
+    step = step.select("row", *[f"all_{k}" for k in KINDS], *[loose(k).alias(f"loose_{k}") for k in KINDS])
 
     def judged(k: str, column: str, matches: bool) -> Column:
         some = F.filter(column, lambda s: F.length(_digits(s["m"])) >= LEAST_DIGITS[k]) if matches and k in LEAST_DIGITS else F.col(column)
@@ -172,7 +176,10 @@ def _judged(kind: str, s: Column, matches: bool) -> Column:
 def _voted(kind: str, s: Column, v: Column, matches: bool) -> Column:
     m, before, digits = v["m"], v["before"], v["digits"]
     check = v["passes"] if matches and kind != "email" else {
-        "email": F.length(m) <= 254, "ip": (F.size(F.split(m, ":")) == 8) | m.contains("::"), "card": _luhn(digits) & (F.length(digits) >= 13), "phone": F.length(digits).between(8, 15) & ~digits.rlike(r"^(.)\1+$"),
+        "email": F.length(m) <= 254,
+        "ip": (F.size(F.split(m, ":")) == 8) | m.contains("::"),
+        "card": _luhn(digits) & (F.length(digits) >= 13),
+        "phone": F.length(digits).between(8, 15) & ~digits.rlike(r"^(.)\1+$"),
     }[kind]
     ending = F.regexp_replace(m, r"[\])] ?(?=[A-Za-z]+$)", ".") if kind == "email" else digits if kind == "card" else m
     sign = lambda c: F.when(c, 1).otherwise(-1)
@@ -314,8 +321,8 @@ def redacted(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", mode
     reach = F.zip_with("spots", _scan(F.transform("spots", lambda s: s["end"]), F.greatest), lambda s, before: F.struct(before.alias("before"), s["start"].alias("start"), s["rank"].alias("rank")))
     # the text in chunks, so that a place in it is found without walking from its start
     chunks = F.regexp_extract_all(own, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
-    ready = spots.where(F.size("spots") > 0).select(
-        "row", F.filter(reach, lambda s: s["start"] >= s["before"]).alias("heads"), F.array_max(F.transform("spots", lambda s: s["end"])).alias("last"), chunks.alias("chunks"), F.size("spots").alias("n"))
+    heads, last = F.filter(reach, lambda s: s["start"] >= s["before"]), F.array_max(F.transform("spots", lambda s: s["end"]))
+    ready = spots.where(F.size("spots") > 0).select("row", heads.alias("heads"), last.alias("last"), chunks.alias("chunks"))
 
     def part(a: Column, b: Column) -> Column:
         """The text from one place to another."""

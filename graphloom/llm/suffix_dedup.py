@@ -146,7 +146,8 @@ def _surroundings(joined: DataFrame) -> DataFrame:
                     place.append(p)
                     around.append(s)
                     full.append(xxhash.xxh3_128_digest(s, seed=high))
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(copies, pa.int64()), pa.array(place, pa.int64()), pa.array(full, pa.binary()), pa.array(around, pa.binary())], names=["k1", "k2", "copies", "place", "full", "around"])
+            numbers, bytes_of = [pa.array(x, pa.int64()) for x in (k1, k2, copies, place)], [pa.array(x, pa.binary()) for x in (full, around)]
+            yield pa.RecordBatch.from_arrays([*numbers, *bytes_of], names=["k1", "k2", "copies", "place", "full", "around"])
 
     return joined.mapInArrow(run, "k1 long, k2 long, copies long, place long, full binary, around binary")
 
@@ -281,14 +282,15 @@ def _runs(suffixes: DataFrame, splitters: list[bytes], dealt: int) -> DataFrame:
                 for k in range(0, len(all_of), RUN_BLOCK):
                     some = [rows[i] for i in all_of[k : k + RUN_BLOCK]]
                     shared, tails = front_coded([r[0] for r in some])
-                    blocks.append({"part": part, "run": f"{some[0][2].hex()}:{count}:{k}", "shared": shared, "tails": tails, "left": [r[1] for r in some], "full": [r[2] for r in some], "low": [r[3] for r in some], "high": [r[4] for r in some]})
+                    rest = {name: [r[j] for r in some] for j, name in enumerate(("left", "full", "low", "high"), 1)}
+                    blocks.append({"part": part, "run": f"{some[0][2].hex()}:{count}:{k}", "shared": shared, "tails": tails} | rest)
             rows.clear()
             count += 1
             if blocks:
                 yield pa.RecordBatch.from_pylist(blocks, schema=schema)
 
-        kinds = [("part", pa.int32()), ("run", pa.string()), ("shared", pa.list_(pa.int16())), ("tails", pa.list_(pa.binary())), ("left", pa.list_(pa.binary())), ("full", pa.list_(pa.binary())), ("low", pa.list_(pa.int16())), ("high", pa.list_(pa.int16()))]
-        schema = pa.schema(kinds)
+        lists = {"shared": pa.int16(), "tails": pa.binary(), "left": pa.binary(), "full": pa.binary(), "low": pa.int16(), "high": pa.int16()}
+        schema = pa.schema([("part", pa.int32()), ("run", pa.string()), *((name, pa.list_(kind)) for name, kind in lists.items())])
         for b in batches:
             for full, around, place in zip(*(b.column(i).to_pylist() for i in range(3))):
                 low, high = place >> 8 & 255, place & 255
@@ -297,7 +299,8 @@ def _runs(suffixes: DataFrame, splitters: list[bytes], dealt: int) -> DataFrame:
                 yield from sorted_run()
         yield from sorted_run()
 
-    return suffixes.select("full", "around", "place").mapInArrow(run, "part int, run string, shared array<short>, tails array<binary>, left array<binary>, full array<binary>, low array<short>, high array<short>")
+    out = "part int, run string, shared array<short>, tails array<binary>, left array<binary>, full array<binary>, low array<short>, high array<short>"
+    return suffixes.select("full", "around", "place").mapInArrow(run, out)
 
 
 def _merged(blocks: DataFrame, parts: int) -> DataFrame:
@@ -405,7 +408,8 @@ def deduplicated(docs: DataFrame, carry: list[str], text: str = "text", kept: bo
                 spans.append(count)
                 digests.append(hashlib.sha256(left).hexdigest())
                 rest.append(left if kept else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(rest, pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            made = [*(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(digests, pa.string()), pa.array(rest, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     from pyspark.sql import types as T
 
