@@ -63,7 +63,8 @@ def _parser() -> argparse.ArgumentParser:
 def stats(g, top: int) -> dict:
     """Counts, the greatest degree, and the most common labels (a report of `top` rows each)."""
     common = lambda df: [tuple(r) for r in df.orderBy(F.desc("n"), "label").limit(top).collect()]
-    return {"nodes": g.node_count(), "edges": g.edge_count(), "max_degree": g.max_degree().first()[0], "average_degree": g.average_degree(), "node_labels": common(g.node_label_counts()), "edge_labels": common(g.edge_label_counts())}
+    numbers = {"nodes": g.node_count(), "edges": g.edge_count(), "max_degree": g.max_degree().first()[0], "average_degree": g.average_degree()}
+    return numbers | {"node_labels": common(g.node_label_counts()), "edge_labels": common(g.edge_label_counts())}
 
 
 def run(spark: SparkSession, arguments: list[str]) -> object:

@@ -114,7 +114,8 @@ def densified(g: PropertyGraph, average_degree: int, seed: int = 0) -> PropertyG
     back = lambda c, to: ids.select(F.col("new_id").alias(c), F.col("old_id").alias(to))
     from ..graph import label_type
 
-    new = new.select("src", "dst").join(back("src", "a"), "src").join(back("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(None).cast(label_type(g.edges)).alias("label"))
+    named = new.select("src", "dst").join(back("src", "a"), "src").join(back("dst", "b"), "dst")
+    new = named.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(None).cast(label_type(g.edges)).alias("label"))
     return replace(g, edges=g.edges.unionByName(cut(canonical(new, g.directed))))
 
 

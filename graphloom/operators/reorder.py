@@ -114,7 +114,10 @@ def from_compact(rows: DataFrame, nodes: DataFrame, directed: bool = True) -> Pr
     return PropertyGraph(nodes, edges, directed)
 
 
-def from_vectors(spark, offsets: list[int], targets: list[int], labels: list | None = None, node_labels: list | None = None, directed: bool = True, names: tuple[list, list] | None = None) -> PropertyGraph:
+def from_vectors(
+    spark, offsets: list[int], targets: list[int], labels: list | None = None, node_labels: list | None = None,
+    directed: bool = True, names: tuple[list, list] | None = None,
+) -> PropertyGraph:
     """A graph from flat vectors: offsets (one more than nodes), targets, and label values or, with names, their ids."""
     n = len(offsets) - 1
     if labels is not None and len(labels) != len(targets):

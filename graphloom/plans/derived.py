@@ -32,8 +32,15 @@ def geo(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     r, n, c, s = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier"))
     node = lambda df, key, base, label: df.select(_key(key, base).alias("id"), label.alias("label"))
     edge = lambda df, src, sb, dst, db, label: df.select(_key(src, sb).alias("src"), _key(dst, db).alias("dst"), F.lit(label).alias("label"))
-    nodes = _union(node(r, "r_regionkey", 0, F.lit("region")), node(n, "n_nationkey", NATION, F.lit("nation")), node(c, "c_custkey", CUSTOMER, F.col("c_mktsegment")), node(s, "s_suppkey", SUPPLIER, F.lit("supplier")))
-    edges = _union(edge(n, "n_regionkey", 0, "n_nationkey", NATION, "hasNation"), edge(c, "c_nationkey", NATION, "c_custkey", CUSTOMER, "hasCustomer"), edge(s, "s_nationkey", NATION, "s_suppkey", SUPPLIER, "hasSupplier"))
+    nodes = _union(
+        node(r, "r_regionkey", 0, F.lit("region")), node(n, "n_nationkey", NATION, F.lit("nation")),
+        node(c, "c_custkey", CUSTOMER, F.col("c_mktsegment")), node(s, "s_suppkey", SUPPLIER, F.lit("supplier")),
+    )
+    edges = _union(
+        edge(n, "n_regionkey", 0, "n_nationkey", NATION, "hasNation"),
+        edge(c, "c_nationkey", NATION, "c_custkey", CUSTOMER, "hasCustomer"),
+        edge(s, "s_nationkey", NATION, "s_suppkey", SUPPLIER, "hasSupplier"),
+    )
     return PropertyGraph(nodes, edges)
 
 
@@ -50,7 +57,9 @@ def supply(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Parts and suppliers, undirected, labelled with the greatest line status."""
     line = table(spark, sf_dir, "lineitem")
     edges = line.groupBy(_key("l_partkey").alias("src"), _key("l_suppkey", SUPPLIER).alias("dst")).agg(F.max("l_linestatus").alias("label"))
-    nodes = _union(table(spark, sf_dir, "part").select(_key("p_partkey").alias("id"), F.lit("part").alias("label")), table(spark, sf_dir, "supplier").select(_key("s_suppkey", SUPPLIER).alias("id"), F.lit("supplier").alias("label")))
+    parts = table(spark, sf_dir, "part").select(_key("p_partkey").alias("id"), F.lit("part").alias("label"))
+    suppliers = table(spark, sf_dir, "supplier").select(_key("s_suppkey", SUPPLIER).alias("id"), F.lit("supplier").alias("label"))
+    nodes = _union(parts, suppliers)
     return PropertyGraph(nodes, edges, directed=False)
 
 

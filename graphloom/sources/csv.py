@@ -29,7 +29,10 @@ def separator(name: str) -> str:
 
 
 class CSVReader:
-    def __init__(self, spark: SparkSession, nodes: str | None, edges: str, sep: str = ",", headers: bool = True, flexible: bool = False, node_label: str = "string", edge_label: str = "string"):
+    def __init__(
+        self, spark: SparkSession, nodes: str | None, edges: str, sep: str = ",", headers: bool = True,
+        flexible: bool = False, node_label: str = "string", edge_label: str = "string",
+    ):
         self.spark, self.paths, self.sep = spark, (nodes, edges), separator(sep)
         self.has_headers, self.is_flexible, self.kinds = headers, flexible, (node_label, edge_label)
 
@@ -47,7 +50,8 @@ class CSVReader:
             first = self.spark.read.option("sep", self.sep).csv(path).head()
             names = [str(x) for x in first] if first else names
         schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))] + [T.StructField("bad", T.StringType())])
-        read = self.spark.read.schema(schema).option("sep", self.sep).option("header", self.has_headers).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").csv(path)
+        options = {"sep": self.sep, "header": self.has_headers, "enforceSchema": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
+        read = self.spark.read.schema(schema).options(**options).csv(path)
         read = read.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")).alias("seq"))
         if not self.is_flexible:
             read = read.where("bad is null")
@@ -73,7 +77,10 @@ class CSVReader:
         return PropertyGraph.of(latest(self.nodes(), ["id"]), self.edges(), directed)
 
 
-def read_csv_graph(spark: SparkSession, nodes: str | None, edges: str, directed: bool = True, sep: str = ",", headers: bool = True, flexible: bool = False, node_label: str = "string", edge_label: str = "string") -> PropertyGraph:
+def read_csv_graph(
+    spark: SparkSession, nodes: str | None, edges: str, directed: bool = True, sep: str = ",", headers: bool = True,
+    flexible: bool = False, node_label: str = "string", edge_label: str = "string",
+) -> PropertyGraph:
     return CSVReader(spark, nodes, edges, sep, headers, flexible, node_label, edge_label).read(directed)
 
 

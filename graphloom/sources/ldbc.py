@@ -56,10 +56,12 @@ def read_ldbc_graph(spark: SparkSession, directory: str, directed: bool = True)
             nodes.append(_columns(spark, directory, found, [at, label]).toDF("a", "b").select(key(kind, "a").alias("key"), F.col("b").alias("label")))
     for start, relation, target in RELATIONS:
         if found := matching(names, f"{start}_{relation}_{target}_"):
-            edges.append(_columns(spark, directory, found, [0, 1]).toDF("a", "b").select(key(start, "a").alias("s"), F.lit(start).alias("st"), key(target, "b").alias("t"), F.lit(target).alias("tt"), F.lit(relation).alias("label")))
+            ends = key(start, "a").alias("s"), F.lit(start).alias("st"), key(target, "b").alias("t"), F.lit(target).alias("tt")
+            edges.append(_columns(spark, directory, found, [0, 1]).toDF("a", "b").select(*ends, F.lit(relation).alias("label")))
     n = reduce(DataFrame.unionByName, nodes, spark.createDataFrame([], "key string, label string"))
     e = reduce(DataFrame.unionByName, edges, spark.createDataFrame([], "s string, st string, t string, tt string, label string")).where("s is not null and t is not null")
-    ends = e.select(F.explode(F.array(F.struct(F.col("s").alias("key"), F.col("st").alias("label")), F.struct(F.col("t").alias("key"), F.col("tt").alias("label")))).alias("x")).select("x.*", F.lit(0).alias("known"))
+    end = lambda k, kind: F.struct(F.col(k).alias("key"), F.col(kind).alias("label"))
+    ends = e.select(F.explode(F.array(end("s", "st"), end("t", "tt"))).alias("x")).select("x.*", F.lit(0).alias("known"))
     labelled = n.where("key is not null").select("key", "label", F.lit(1).alias("known")).unionByName(ends).groupBy("key").agg(F.max_by(F.struct("label"), F.struct("known", "label")).alias("x"))
     ids = cut(numbered(labelled.select("key", F.col("x.label").alias("label")), [F.col("key")], "id"))
     at = lambda c: ids.select(F.col("key").alias(c), F.col("id").alias(f"id_{c}"))
