@@ -8,8 +8,8 @@ similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS, so a pair a
 times in a million, and nearer ones less. Each candidate pair is judged by the exact similarity of its two sets,
 unless its ends are already in one component by other pairs, where the answer changes nothing. So that groups don't
 cost the square of their size, every set is first judged against the least one of its fingerprint, fingerprints by
-their least sets, and every set against one other of its bands; then against the least set of each of its bands. What
-then still shares a band with another component goes through an exact join by prefixes and places (apart).
+their least sets, and every set against one other of its bands; then against the least set of each of its bands, and
+of two or three bands in a row. What then still shares a band with another component goes through an exact join by prefixes and places (apart).
 
 Equal sets are one; only sets that share a band with another have their texts moved. Null and empty texts are
 the empty set. A component stays with one row, the least by (doc_id, text), null ids last.
@@ -127,9 +127,10 @@ def by_fingerprint(found: DataFrame) -> DataFrame:
 
 def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """fp, root for every set that is near to another. found: fp, bands, code, a row for each set."""
-    every = found.select("fp", F.posexplode("bands").alias("band", "value"))
+    next_band = lambda k: F.get("bands", (F.col("band") + k) % BANDS).alias(f"next{k}")
+    every = found.select("fp", "bands", F.posexplode("bands").alias("band", "value")).select("fp", "band", "value", next_band(1), next_band(2))
     shared = every.groupBy("band", "value").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first < last")
-    members = cut(every.join(shared, ["band", "value"]).select("band", "value", "first", "fp"))
+    members = cut(every.join(shared, ["band", "value"]).select("band", "value", "first", "fp", "next1", "next2"))
     close = cut(by_fingerprint(found.select("fp", "code")))
     needed = members.select("fp").union(close.select("src")).union(close.select("dst")).distinct()
     own = prints(docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")), ["text"], "text", "fp")
@@ -139,14 +140,17 @@ def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     led = members.where("first < fp").select(F.col("first").alias("src"), F.col("fp").alias("dst"))
     tried = cut(led.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst").unionByName(close).distinct())
     near = C.settled(scratch, judged(tried, texts), "tried")
-    for step in ("led", "apart"):
+    for step in ("led", "finer", "apart"):
         rooted = cut(stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root")))
         root = lambda c: rooted.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}"))
         placed = lambda df, c: df.join(root(c), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
         if step == "led":
             more = placed(placed(led.distinct(), "src"), "dst").where("root_src <> root_dst").select("src", "dst")
         else:
-            more = apart(placed(members.select("band", "value", "fp"), "fp").withColumnRenamed("root_fp", "root"), texts, scratch)
+            named = placed(members.drop("first"), "fp").withColumnRenamed("root_fp", "root")
+            mixed_bands = named.groupBy("band", "value").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "value")
+            named = cut(named.join(mixed_bands, ["band", "value"]))
+            more = finer(named) if step == "finer" else apart(named, texts, scratch)
         more = cut(more.join(tried, ["src", "dst"], "left_anti"))
         tried = tried.unionByName(more)
         near = near.unionByName(C.settled(scratch, judged(more, texts), step))
@@ -154,16 +158,26 @@ def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root"))
 
 
+def finer(named: DataFrame) -> DataFrame:
+    """src, dst: sets that share two or three bands in a row with the least set that does, roots unlike; these are likelier
+    near than the band's least set, and what they join needn't be paired later."""
+    pairs = []
+    for key in (["band", "value", "next1"], ["band", "value", "next1", "next2"]):
+        leads = named.groupBy(*key).agg(F.min(F.struct("fp", "root")).alias("lead"))
+        own = named.join(leads, key).where("lead.root <> root")
+        pairs.append(own.select(F.least("lead.fp", "fp").alias("src"), F.greatest("lead.fp", "fp").alias("dst")))
+    return pairs[0].union(pairs[1]).distinct()
+
+
 def apart(named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """src, dst: pairs that may be near, among the sets that share a band with a set of another root, roots unlike.
+    """src, dst: pairs that may be near, of the sets in bands that have sets of several roots, roots unlike.
 
     A join by prefixes and places, which loses no pair: shingles are put in one order, the rarest first. Two near sets have
     a shingle in common among the first of either, and from the first one that they have in common on both must be long
     enough for the overlap that they need. Edits come first in that order, so what many copies share meets nothing.
     named: band, value, fp, root.
     """
-    both = named.groupBy("band", "value").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "value")
-    some = named.join(both, ["band", "value"]).select("fp", "root").distinct()
+    some = named.select("fp", "root").distinct()
 
     def make() -> Callable[[list[str]], dict[str, list]]:
         return lambda rows: {"own": [shingles(t).view(np.int64) for t in rows]}
