@@ -345,13 +345,13 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     some = scratch.keep(_places(docs, text, False).join(grams, "gram").groupBy("k1", "k2").agg(F.collect_set("place").alias("some")), "some")
     # of equal texts one is cut up, with their number; they are brought together before they are exchanged
     texts = _keyed(docs, text).groupBy("k1", "k2").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
-    found = scratch.keep(_surroundings(texts.join(some, ["k1", "k2"]).select("k1", "k2", "bytes", "some", "copies")), "found")
+    found = C.settled(scratch, _surroundings(texts.join(some, ["k1", "k2"]).select("k1", "k2", "bytes", "some", "copies")), "found")
     scratch.drop("grams")
     scratch.drop("some")
     single = scratch.keep(found.groupBy("full").agg(F.sum("copies").alias("n"), F.min("around").alias("around"), F.min(F.col("place").bitwiseAND(65535)).alias("place")), "single")
     # grams that stand in one surrounding only are known already
     gram = F.xxhash64(F.substring("around", F.col("place").bitwiseAND(255).cast("int") + 1, F.lit(GRAM)))
-    several = single.groupBy(gram.alias("gram")).count().where("count > 1").select("gram")
+    several = scratch.keep(single.groupBy(gram.alias("gram")).count().where("count > 1").select("gram"), "several")
     suffixes = scratch.keep(single.withColumn("gram", gram).join(several, "gram").select("full", "around", "place"), "suffixes")
     number = suffixes.count()
     parts = max(1, number // PER_MERGE)
@@ -366,7 +366,7 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     once = merged.join(single.where("n = 1").select("full"), "full")
     known = single.where("n > 1").select("full", F.lit(None).cast("binary").alias("offsets")).unionByName(once)
     places = scratch.keep(found.select("k1", "k2", "place", "full").join(known, "full").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "offsets")).alias("places")), "places")
-    for name in ("found", "single", "suffixes"):
+    for name in ("found", "single", "several", "suffixes"):
         scratch.drop(name)
     return places
 
