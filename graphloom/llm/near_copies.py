@@ -127,15 +127,14 @@ def by_fingerprint(found: DataFrame) -> DataFrame:
 
 def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """fp, root for every set that is near to another. found: fp, bands, code, a row for each set."""
-    next_band = lambda k: F.get("bands", (F.col("band") + k) % BANDS).alias(f"next{k}")
-    every = found.select("fp", "bands", F.posexplode("bands").alias("band", "value")).select("fp", "band", "value", next_band(1), next_band(2))
+    every = found.select("fp", F.posexplode("bands").alias("band", "value"))
     shared = every.groupBy("band", "value").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first < last")
-    members = cut(every.join(shared, ["band", "value"]).select("band", "value", "first", "fp", "next1", "next2"))
+    scratch = Scratch(docs.sparkSession)
+    members = C.settled(scratch, every.join(shared, ["band", "value"]).select("band", "value", "first", "fp"), "members")
     close = cut(by_fingerprint(found.select("fp", "code")))
     needed = members.select("fp").union(close.select("src")).union(close.select("dst")).distinct()
     own = prints(docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")), ["text"], "text", "fp")
     # texts are moved in these steps alone; their exchanged rows go from the disks once a step is written
-    scratch = Scratch(docs.sparkSession)
     texts = C.settled(scratch, own.join(needed.hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")), "texts")
     led = members.where("first < fp").select(F.col("first").alias("src"), F.col("fp").alias("dst"))
     tried = cut(led.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst").unionByName(close).distinct())
@@ -149,8 +148,8 @@ def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         else:
             named = placed(members.drop("first"), "fp").withColumnRenamed("root_fp", "root")
             mixed_bands = named.groupBy("band", "value").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "value")
-            named = cut(named.join(mixed_bands, ["band", "value"]))
-            more = finer(named) if step == "finer" else apart(named, texts, scratch)
+            named = C.settled(scratch, named.join(mixed_bands, ["band", "value"]), f"mixed_{step}")
+            more = finer(named, found) if step == "finer" else apart(named, texts, scratch)
         more = cut(more.join(tried, ["src", "dst"], "left_anti"))
         tried = tried.unionByName(more)
         near = near.unionByName(C.settled(scratch, judged(more, texts), step))
@@ -158,9 +157,11 @@ def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root"))
 
 
-def finer(named: DataFrame) -> DataFrame:
+def finer(named: DataFrame, found: DataFrame) -> DataFrame:
     """src, dst: sets that share two or three bands in a row with the least set that does, roots unlike; these are likelier
     near than the band's least set, and what they join needn't be paired later."""
+    next_band = lambda k: F.get("bands", (F.col("band") + k) % BANDS).alias(f"next{k}")
+    named = named.join(found.select("fp", "bands"), "fp").select("band", "value", next_band(1), next_band(2), "fp", "root")
     pairs = []
     for key in (["band", "value", "next1"], ["band", "value", "next1", "next2"]):
         leads = named.groupBy(*key).agg(F.min(F.struct("fp", "root")).alias("lead"))
@@ -198,6 +199,6 @@ def apart(named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, as they are: of each component the one with the least (doc_id, text), once."""
-    found = cut(prints(docs, [doc_id], text, "fp", "bands", "code").groupBy(F.col("fp")).agg(F.min(doc_id).alias("least"), F.first("bands").alias("bands"), F.first("code").alias("code")))
+    found = C.settled(Scratch(docs.sparkSession), prints(docs, [doc_id], text, "fp", "bands", "code").groupBy(F.col("fp")).agg(F.min(doc_id).alias("least"), F.first("bands").alias("bands"), F.first("code").alias("code")), "found")
     joined = found.join(components(found, docs, text), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return C.one_each(docs, prints(docs, docs.columns, text, C.fresh(docs, "fp")), C.fresh(docs, "fp"), joined, doc_id, text)
