@@ -45,12 +45,14 @@ def clear() -> None:
 
 
 class Scratch:
-    """Parquet tables in the shared folder, under one name, dropped together."""
+    """Parquet tables in the shared folder, under one name, dropped together; or in a folder that the caller names and
+    that clear() leaves alone."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/graphloom/{uuid.uuid4().hex}"
-        _ROOTS.append(self)
+        self.root = root or f"{shared_folder(spark)}/graphloom/{uuid.uuid4().hex}"
+        if not root:
+            _ROOTS.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

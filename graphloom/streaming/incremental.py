@@ -27,9 +27,7 @@ PIECES = 32
 
 class IncrementalComponents:
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.scratch = spark, Scratch(spark)
-        if path:
-            self.scratch.root = path.rstrip("/")
+        self.spark, self.scratch = spark, Scratch(spark, path and path.rstrip("/"))
         self._recover()
 
     def _recover(self) -> None:

@@ -12,6 +12,7 @@ from graphloom.operators import reorder as R
 from graphloom.operators import setops as U
 from graphloom.operators import traversal as T
 from graphloom.sources import csv, ldbc, snapshot
+from graphloom.scratch import clear
 from graphloom.streaming.incremental import IncrementalComponents
 
 from .test_graph import graph, ids, rows
@@ -228,6 +229,7 @@ def test_incremental_components_after_a_restart(spark, tmp_path, monkeypatch):
         assert rows(state.components().select("id", "component")) == rows(whole.select("id", "component"))
     # what a batch wrote before it failed doesn't count
     state.scratch.keep(spark.createDataFrame([(7777, 7777)], "id long, component long"), f"ids-{state.version + 1}")
+    clear()
     again = IncrementalComponents(spark, f"{tmp_path}/state")
     assert again.version == state.version and again.components().where("id = 7777").isEmpty()
     again.reset()
