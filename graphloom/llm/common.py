@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import Scratch
+from ..scratch import Scratch, shuffles_freed
 from ..shipping import ship
 
 #: Rows and bytes that one Arrow batch holds at most (a single longer text makes a batch of its own).
@@ -89,13 +89,8 @@ def one_each(docs: DataFrame, printed: DataFrame, fp: str, rooted: DataFrame, do
 
 def settled(scratch: Scratch, df: DataFrame, name: str) -> DataFrame:
     """scratch.keep(), after which the rows that were shuffled for it go from the disks."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
-    try:
+    with shuffles_freed(df.sparkSession):
         return scratch.keep(df, name)
-    finally:
-        conf.set(key, before) if before is not None else conf.unset(key)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, shuffles_freed
 
 
 #: Links beyond which a hub is worth a table of its own in each round.
@@ -30,7 +30,8 @@ def stars(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     star = cut(known.where(a != b).select(F.greatest(a, b).alias("big"), F.least(a, b).alias("small")).distinct())
     before = None
     while True:
-        now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first())
+        with shuffles_freed(star.sparkSession):
+            now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first())
         if now == before or now[0] == 0:
             break
         before, written = now, cut if now[0] > SPLIT else lambda df: df
