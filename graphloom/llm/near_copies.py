@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import stars
-from ..scratch import Scratch, cut
+from ..scratch import Scratch, cut, tidy
 from . import common as C
 from . import simhash
 from .words import mixed
@@ -138,8 +138,10 @@ def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     texts = C.settled(scratch, own.join(needed.hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")), "texts")
     led = members.where("first < fp").select(F.col("first").alias("src"), F.col("fp").alias("dst"))
     tried = cut(led.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst").unionByName(close).distinct())
+    # what is known is carried on as a star around each root, with the pairs of the last step
     near = C.settled(scratch, judged(tried, texts), "tried")
     for step in ("led", "finer", "apart"):
+        tidy(docs.sparkSession)
         rooted = cut(stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root")))
         root = lambda c: rooted.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}"))
         placed = lambda df, c: df.join(root(c), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
@@ -152,9 +154,13 @@ def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             more = finer(named, found) if step == "finer" else apart(named, texts, scratch)
         more = cut(more.join(tried, ["src", "dst"], "left_anti"))
         tried = tried.unionByName(more)
-        near = near.unionByName(C.settled(scratch, judged(more, texts), step))
+        known = rooted.select(F.col("root").alias("src"), F.col("fp").alias("dst"))
+        near = known.unionByName(C.settled(scratch, judged(more, texts), step))
     scratch.drop("texts")
-    return stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root"))
+    tidy(docs.sparkSession)
+    rooted = cut(stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root")))
+    scratch.drop()
+    return rooted
 
 
 def finer(named: DataFrame, found: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from graphloom.llm import common, near_copies, pieces, pii, simhash, toxicity
@@ -95,6 +96,32 @@ def test_near_copies_like_brute_force(spark):
     assert got.columns == docs.columns and sorted(x["doc_id"] for x in got.collect()) == want
 
 
+def test_near_copies_carry_on_stars_and_leave_no_tables(spark, monkeypatch):
+    """After the first step only a star for each root and the new pairs are looked at; the tables of the steps go."""
+    from pathlib import Path
+
+    from graphloom.scratch import shared_folder
+
+    r, texts = random.Random(5), []
+    for k in range(6):
+        base = [f"w{k}_{j}" for j in range(200)]
+        for _ in range(12):
+            new = list(base)
+            for _ in range(r.randint(0, 4)):
+                new[r.randrange(200)] = "new"
+            texts.append(" ".join(new))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_copies.prints(docs, ["doc_id"], "text", "fp", "bands", "code").groupBy("fp").agg(*[F.first(c).alias(c) for c in ("bands", "code")])
+    sets, seen, plain = found.count(), [], near_copies.stars
+    monkeypatch.setattr(near_copies, "stars", lambda links: seen.append(links.count()) or plain(links))
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "graphloom"
+    before = set(folder.rglob("*.parquet"))
+    rooted = near_copies.components(found, docs, "text")
+    assert set(folder.rglob("*.parquet")) <= before
+    assert sets - rooted.count() + rooted.select("root").distinct().count() == len(set(plain_groups(texts)))
+    assert seen[-1] == rooted.count() < max(seen), (sets, seen)
+
+
 def test_pairs_of_a_family_by_prefixes_and_places(spark):
     """Of a family whose copies differ by many edits: no near pair is lost, and few others are judged."""
     r = random.Random(11)
