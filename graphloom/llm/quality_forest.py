@@ -1,14 +1,14 @@
 """Quality rules, and an isolation forest over their statistics.
 
-Each whole text gets the rules' counts and a few rates made of them. An isolation forest (Liu, Ting and
-Zhou 2008) is grown on a sample of labelled rows: TREES trees, each splitting SUBSAMPLE rows at random; a
-document whose paths are short is unlike the others. The score above which a document goes is calibrated
-on the labelled sample's rows that the base rules keep, for only there the forest decides: of the thresholds that lose
-at most GOOD_LOSS of the good ones, the one that catches most bad ones; if none catches any, nothing goes but what
-the rules reject.
-
-The sample is bounded: SAMPLE labelled rows by the hash of their ids (all if there are fewer), one
-document for each id. Everything else covers every row and every byte. Windows of words are compared by
+Each whole text gets the rules' counts and a few rates made of them, once; these are written. An isolation forest
+(Liu, Ting and Zhou 2008) is grown on the labelled rows: TREES trees, each splitting SUBSAMPLE rows, as the method
+has it, drawn from all labelled ones; a document whose paths are short is unlike the others. The score above which a
+document goes is calibrated on all labelled rows that the base rules keep, for only there the forest decides: of the
+thresholds that lose at most GOOD_LOSS of the good ones, the one that catches most bad ones; if none catches any, nothing
+goes but what the rules reject.
+
+Of several documents for one id the least by rates counts when the forest is fitted. Only the rows that trees split (at
+most TREES * SUBSAMPLE) come to the driver. Everything covers every row and every byte. Windows of words are compared by
 64-bit hashes.
 
 Null and empty texts have no words and fail the base rules. A label row for an id without document, or
@@ -19,18 +19,23 @@ are neither read nor touched.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.ordering import numbered
+from ..scratch import Scratch, cut
 from . import common as C
 from .words import SPACES, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-TREES, SUBSAMPLE, SAMPLE, GOOD_LOSS, SEED = 128, 256, 8192, 0.005, 7
+TREES, SUBSAMPLE, GOOD_LOSS, SEED = 128, 256, 0.005, 7
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATES = ("log_words", "chars_per_word", "symbols", "dup_lines", "repeats", "digits", "capitals", "marks", "distinct_words", "words_per_line")
 _POWERS = np.multiply.accumulate(np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64))
@@ -83,16 +88,24 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
     return [n, word_chars, symbols, dup, repeats], rates
 
 
+def draws(n: int, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> np.ndarray:
+    """For each tree the numbers, out of n, of the rows that it splits."""
+    rng = np.random.default_rng((seed, 1))
+    return np.array([rng.choice(n, min(subsample, n), replace=False) for _ in range(trees)])
+
+
 class Forest:
     """Random splits; nodes of all trees in arrays, leaves pointing at themselves."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
+    def __init__(self, x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED, drawn: np.ndarray | None = None):
+        """drawn: for each tree the rows of x that it splits; else they are drawn from all of x."""
         rng = np.random.default_rng(seed)
         self.feature, self.split, self.left, self.right, self.depth = [], [], [], [], []
-        size = min(subsample, len(x))
+        drawn = draws(len(x), trees, subsample, seed) if drawn is None else drawn
+        size = drawn.shape[1]
         self.limit = int(np.ceil(np.log2(max(size, 2))))
         self.norm = max(self.expected(size), 1e-9)
-        self.roots = [self._grow(x[rng.choice(len(x), size, replace=False)], 0, rng) for _ in range(trees)]
+        self.roots = [self._grow(x[own], 0, rng) for own in drawn]
         for k in ("feature", "split", "left", "right", "depth", "roots"):
             setattr(self, k, np.array(getattr(self, k)))
 
@@ -137,31 +150,67 @@ def threshold(scores: np.ndarray, bad: np.ndarray, good_loss: float = GOOD_LOSS)
     return float(caught.min()) if len(caught) else float("inf")
 
 
-def _measured(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
+def _measured(docs: DataFrame, carry: list[str], text: str, counts: str, rates: str) -> DataFrame:
     def make() -> Callable[[list[str]], dict[str, list]]:
         def work(texts: list[str]) -> dict[str, list]:
             found = [statistics(t) for t in texts]
-            return {"counts": [a for a, _ in found], "rates": [b for _, b in found]}
+            return {counts: [a for a, _ in found], rates: [b for _, b in found]}
 
         return work
 
-    from pyspark.sql import types as T
+    return C.map_texts(docs, carry, text, make, C.struct(**{counts: T.ArrayType(C.LONG), rates: T.ArrayType(C.DOUBLE)}))
 
-    return C.map_texts(docs, carry, text, make, C.struct(counts=T.ArrayType(C.LONG), rates=T.ArrayType(C.DOUBLE)))
 
+def _scored(rows: DataFrame, carry: list[str], counts: str, rates: str, model: Broadcast, out: T.StructType) -> DataFrame:
+    """`carry` and, of COUNTS, base_failed, anomaly and kept, those that `out` has. model: the forest and its threshold."""
 
-def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", sample: int = SAMPLE) -> tuple[Forest | None, float]:
-    """The forest and its threshold, from at most `sample` labelled rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, limit = model.value
+        for batch in batches:
+            n = batch.num_rows
+            found = batch.column(len(carry)).flatten().to_numpy(zero_copy_only=False).reshape(n, len(COUNTS))
+            x = batch.column(len(carry) + 1).flatten().to_numpy(zero_copy_only=False).reshape(n, len(RATES))
+            made: dict[str, list] = {k: found[:, i] for i, k in enumerate(COUNTS)}
+            made["anomaly"] = forest.score(x) if forest and n else np.zeros(n)
+            made["base_failed"] = [base_failed(a, b) for a, b in zip(made["n_words"].tolist(), made["n_repeat_words"].tolist())]
+            made["kept"] = [not f and s < limit for f, s in zip(made["base_failed"], made["anomaly"].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(carry))] + [pa.array(made[f.name]) for f in out], names=[*carry, *out.names])
+
+    C.small_batches(rows.sparkSession)
+    read = rows.select(*[F.col(f"`{c}`") for c in [*carry, counts, rates]])
+    return read.mapInArrow(run, T.StructType([rows.schema[c] for c in carry] + list(out)))
+
+
+def fitted(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality") -> tuple[Forest | None, float]:
+    """The forest and its threshold, from all labelled rows. measured: __id, __counts, __rates."""
+    spark = measured.sparkSession
     said = labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(quality).alias("__quality"))
-    chosen = said.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
-    found = _measured(rows, ["__id", "__quality"], "__text").groupBy("__id", "__quality").agg(F.min(F.struct("rates", "counts")).alias("own")).orderBy("__id").collect()
-    if not found:
+    own = measured.groupBy("__id").agg(F.min(F.struct("__rates", "__counts")).alias("own"))
+    rows = own.join(said, "__id").select("__id", (F.col("__quality") != 1).alias("bad"), "own.__rates", "own.__counts")
+    rows = cut(numbered(rows, [F.xxhash64("__id"), F.col("__id")], "at", many=True))
+    n = rows.count()
+    if not n:
         return None, float("inf")
-    x, bad = np.array([r["own"]["rates"] for r in found]), np.array([r["__quality"] != 1 for r in found])
-    open_to = np.array([not base_failed(*(r["own"]["counts"][COUNTS.index(c)] for c in ("n_words", "n_repeat_words"))) for r in found])
-    forest = Forest(x)
-    return forest, threshold(forest.score(x[open_to]), bad[open_to]) if open_to.any() else float("inf")
+    drawn = draws(n)
+    wanted, place = np.unique(drawn, return_inverse=True)
+    some = spark.createDataFrame([(k,) for k in wanted.tolist()], "at long")
+    x = np.array([r["__rates"] for r in sorted(rows.select("at", "__rates").join(F.broadcast(some), "at").collect())])
+    forest = Forest(x, drawn=place.reshape(drawn.shape))
+    model = spark.sparkContext.broadcast((forest, float("inf")))
+    scored = _scored(rows, ["__id", "bad"], "__counts", "__rates", model, C.struct(base_failed=C.BOOL, anomaly=C.DOUBLE))
+    return forest, threshold_of(cut(scored.where("not base_failed").select("__id", "bad", "anomaly")))
+
+
+def threshold_of(scored: DataFrame, good_loss: float = GOOD_LOSS) -> float:
+    """threshold() of a table of any size. scored: __id (each once), bad, anomaly."""
+    bad, n = scored.agg(F.count_if("bad"), F.count("*")).first()
+    if bad in (0, n):
+        return float("inf")
+    allowed = int(np.floor(good_loss * (n - bad)))
+    good = numbered(scored.where("not bad"), [F.col("anomaly").desc(), F.col("__id")], "at", many=True)
+    floor = good.where(F.col("at") == allowed).first()["anomaly"]
+    caught = scored.where(F.col("bad") & (F.col("anomaly") > floor)).agg(F.min("anomaly")).first()[0]
+    return float("inf") if caught is None else caught
 
 
 def base_failed(n_words: int, n_repeat_words: int) -> bool:
@@ -170,21 +219,10 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 def judged(docs: DataFrame, labels: DataFrame, carry: list[str], doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
     """Every row's `carry` columns with the counts, base_failed, anomaly (the forest's score) and kept."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, doc_id, text, quality))
-
-    def make() -> Callable[[list[str]], dict[str, list]]:
-        forest, limit = model.value
-
-        def work(texts: list[str]) -> dict[str, list]:
-            found = [statistics(t) for t in texts]
-            score = forest.score(np.array([b for _, b in found])) if forest and found else np.zeros(len(found))
-            made: dict[str, list] = {k: [a[i] for a, _ in found] for i, k in enumerate(COUNTS)}
-            made["base_failed"] = [base_failed(a, b) for a, b in zip(made["n_words"], made["n_repeat_words"])]
-            made["anomaly"] = score.tolist()
-            made["kept"] = [not f and s < limit for f, s in zip(made["base_failed"], made["anomaly"])]
-            return made
-
-        return work
-
+    of_id, counts, rates = (C.fresh(docs, k) for k in ("id", "counts", "rates"))
+    known = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, text])], F.col(f"`{doc_id}`").alias(of_id))
+    measured = C.settled(Scratch(docs.sparkSession), _measured(known, [*carry, of_id], text, counts, rates), "measured")
+    named = measured.select(F.col(of_id).alias("__id"), F.col(counts).alias("__counts"), F.col(rates).alias("__rates"))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(named, labels, doc_id, quality))
     out = C.struct(**dict.fromkeys(COUNTS, C.LONG), base_failed=C.BOOL, anomaly=C.DOUBLE, kept=C.BOOL)
-    return C.map_texts(docs, carry, text, make, out)
+    return _scored(measured, carry, counts, rates, model, out)

@@ -559,6 +559,22 @@ def test_the_forest_gains_on_rows_that_it_was_not_fitted_to(spark):
     assert share[0, "both"] > 0.7 > 0.5 > share[0, "base"] and share[1, "both"] < share[1, "base"] + 0.015, share
 
 
+def test_forest_and_threshold_come_from_all_labelled_rows(spark):
+    """12 000 labelled rows: what a plain threshold over all of them says, and no label is without effect."""
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["the", "of", "word", "x1", "#", "Ab,"]) + str(r.randrange(50)) for _ in range(r.randint(15, 40))) for _ in range(12_000)]
+    bad = [r.random() < 0.02 for _ in texts]
+    texts = [t + " $ | # < >" * r.randint(0, 6) if b else t for t, b in zip(texts, bad)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(not b)) for i, b in enumerate(bad)], "doc_id long, quality int")
+    found = by_id(quality_forest.judged(docs, labels, ["doc_id"]))
+    open_to = [i for i in found if not found[i]["base_failed"]]
+    limit = quality_forest.threshold(np.array([found[i]["anomaly"] for i in open_to]), np.array([bad[i] for i in open_to]))
+    assert limit < 1 and all(found[i]["kept"] == (found[i]["anomaly"] < limit) for i in open_to)
+    drawn = quality_forest.draws(12_000)
+    assert len(np.unique(drawn)) > 10_000 and all(len(set(x)) == quality_forest.SUBSAMPLE for x in drawn.tolist())
+
+
 def test_quality_on_odd_rows(spark, odd, labels):
     found = quality_forest.judged(odd, labels, ["doc_id"])
     assert found.count() == odd.count() and by_id(found)[5]["base_failed"] and by_id(found)[3]["n_words"] == 0
