@@ -169,11 +169,11 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, blocks: int | None = None)
     fps: fp, each once. blocks: of the fingerprint that make up an anchor; the pairs are the same for any.
     """
     blocks = blocks or (2 if fps.count() <= MANY else 3)
-    # few bytes, so few partitions, but each row becomes many
+    # few bytes, so few partitions, but each row becomes many; of that Spark's sizes know nothing, so neither side may be broadcast
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     home = anchored(fps, True, threshold, blocks).withColumnRenamed("fp", "src")
     sent = anchored(fps, False, threshold, blocks).withColumnRenamed("fp", "dst")
-    return home.join(sent, "anchor").where((F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= threshold)).select("src", "dst")
+    return home.join(sent.hint("merge"), "anchor").where((F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= threshold)).select("src", "dst")
 
 
 def components(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:

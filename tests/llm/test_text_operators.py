@@ -668,6 +668,14 @@ def test_links_do_not_depend_on_the_blocks(spark):
         assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 2000
 
 
+def test_what_goes_to_the_anchors_is_not_broadcast(spark):
+    """Each fingerprint becomes some sixty rows, which Spark's sizes don't show."""
+    found = simhash.links(spark.range(2000).select(F.xxhash64("id").alias("fp")))
+    assert found.isEmpty()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
+
+
 def test_one_root_may_have_most_rows(spark):
     """A chain of fingerprints through 65 others, and one fingerprint in half of the rows."""
     chain = [(1 << k) - 1 for k in range(64)]
