@@ -125,12 +125,18 @@ def by_fingerprint(found: DataFrame) -> DataFrame:
     return same.unionByName(linked.select(F.least("lead_src", "lead_dst").alias("src"), F.greatest("lead_src", "lead_dst").alias("dst")))
 
 
-def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """fp, root for every set that is near to another. found: fp, bands, code, a row for each set."""
+def in_shared_bands(found: DataFrame) -> DataFrame:
+    """band, value, first, fp: the bands that several sets have, with the least of them and each."""
     every = found.select("fp", F.posexplode("bands").alias("band", "value"))
     shared = every.groupBy("band", "value").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first < last")
+    # Spark takes the exploded rows to be no more than the sets; they must not be broadcast
+    return every.hint("merge").join(shared, ["band", "value"]).select("band", "value", "first", "fp")
+
+
+def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """fp, root for every set that is near to another. found: fp, bands, code, a row for each set."""
     scratch = Scratch(docs.sparkSession)
-    members = C.settled(scratch, every.join(shared, ["band", "value"]).select("band", "value", "first", "fp"), "members")
+    members = C.settled(scratch, in_shared_bands(found), "members")
     close = cut(by_fingerprint(found.select("fp", "code")))
     needed = members.select("fp").union(close.select("src")).union(close.select("dst")).distinct()
     own = prints(docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")), ["text"], "text", "fp")
@@ -199,7 +205,8 @@ def apart(named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     side = lambda x: tokens.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "root", "n", "at")])
     overlap = (F.col("n_x") + F.col("n_y")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
     enough = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= overlap
-    pairs = side("x").join(side("y"), "h").where((F.col("root_x") < F.col("root_y")) & enough)
+    # the file is many times smaller than its rows, so it isn't broadcast
+    pairs = side("x").join(side("y").hint("merge"), "h").where((F.col("root_x") < F.col("root_y")) & enough)
     return pairs.select(F.least("fp_x", "fp_y").alias("src"), F.greatest("fp_x", "fp_y").alias("dst")).distinct()
 
 

@@ -141,6 +141,21 @@ def test_pairs_of_a_family_by_prefixes_and_places(spark):
     assert near <= pairs and len(near) > 500 and len(pairs) - len(near) < 0.1 * (every - len(near)), (len(near), len(pairs), every)
 
 
+def test_rows_of_bands_and_prefixes_are_not_broadcast(spark):
+    """A set becomes a row for each of its bands, or of its first shingles; Spark takes these for as few bytes as the set."""
+    texts = [" ".join(f"w{k}" for k in range(i, 40)) for i in range(4)]
+    keys = [int(np.array([near_copies.key_of(near_copies.shingles(t))], np.uint64).view(np.int64)[0]) for t in texts]
+    found = spark.createDataFrame([(k, [1, 2 + i // 2]) for i, k in enumerate(keys)], "fp long, bands array<long>")
+    banded = near_copies.in_shared_bands(found)
+    assert sorted((x["band"], x["value"], x["fp"]) for x in banded.collect()) == sorted([(0, 1, k) for k in keys] + [(1, 2 + i // 2, k) for i, k in enumerate(keys)])
+    named = spark.createDataFrame([(0, 1, k, k) for k in keys], "band int, value long, fp long, root long")
+    paired = near_copies.apart(named, spark.createDataFrame(list(zip(keys, texts)), "fp long, text string"), Scratch(spark))
+    assert not paired.isEmpty()
+    for df in (banded, paired):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan, plan
+
+
 def test_all_stages_like_plain_python(spark, tmp_path):
     """run() over a small folder, against each stage's plain version on what the one before keeps."""
     import sentencepiece
