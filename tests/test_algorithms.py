@@ -302,3 +302,42 @@ def test_csv_rows_count_in_file_order(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == {k: f"v{3950 + k}" if k != 3 else "last" for k in range(50)}
+
+
+def test_a_depth_first_tree_takes_memory_by_its_nodes():
+    """Of a complete graph the lists come batch by batch and stay on disk; the greatest neighbour is next."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = 1500
+    every = np.arange(n)
+
+    def batches(of=range(n)):
+        for i in of:
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([7]), pa.array([every[every != i]])], names=["id", "tree", "after"])
+
+    # once before, for what is imported on the way
+    list(T.walked((pa.RecordBatch.from_arrays([pa.array([7]), pa.array([7]), pa.array([np.array([7])])], names=["id", "tree", "after"]) for _ in range(1)), [7]))
+    tracemalloc.start()
+    found = [x for ids, tree, at in T.walked(batches(), [7]) for x in ids.tolist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [7, *[i for i in reversed(range(n)) if i != 7]]
+    assert peak < 8 * n * n / 4, peak
+
+
+def test_edges_are_made_once_for_a_traversal(spark):
+    """However many rounds it takes: a chain of 6 nodes, whose edges count how often they are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([(k, k + 1, "x") for k in range(5)], "src long, dst long, label string").mapInArrow(count, "src long, dst long, label string")
+    g = PropertyGraph(spark.range(6).select("id", F.lit(None).cast("string").alias("label")), edges, False)
+    assert in_order(T.bfs(g)) == in_order(T.dfs(g)) == list(range(6))
+    assert made.value == 2 * 5, made.value
