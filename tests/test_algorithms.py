@@ -341,3 +341,14 @@ def test_edges_are_made_once_for_a_traversal(spark):
     g = PropertyGraph(spark.range(6).select("id", F.lit(None).cast("string").alias("label")), edges, False)
     assert in_order(T.bfs(g)) == in_order(T.dfs(g)) == list(range(6))
     assert made.value == 2 * 5, made.value
+
+
+@pytest.mark.parametrize("small", [1, 10_000])
+def test_the_least_rows_are_chosen_without_one_task(spark, monkeypatch, small):
+    """Cut off within a group of equal leading bits, among equal numbers, and at the end."""
+    monkeypatch.setattr(C, "SORTED", small)
+    data = [(k, k + 1, (k % 7 - 3) << 50 | k % 5) for k in range(200)]
+    rows = spark.createDataFrame(data, "src long, dst long, r long")
+    for m in (0, 1, 57, 199, 200):
+        want = sorted(x[:2] for x in sorted(data, key=lambda x: (x[2], x[0], x[1]))[:m])
+        assert sorted(map(tuple, C._least(rows, m).collect())) == want, m
