@@ -14,13 +14,16 @@ from __future__ import annotations
 
 import argparse
 import time
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .graph import PropertyGraph
 from .operators import generate as C
 from .operators import mutate as M
 from .operators import reorder as R
+from .scratch import cut
 from .sources import csv, ldbc, snapshot
 
 
@@ -67,12 +70,18 @@ def stats(g, top: int) -> dict:
     return numbers | {"node_labels": common(g.node_label_counts()), "edge_labels": common(g.edge_label_counts())}
 
 
+def _written(g: PropertyGraph) -> PropertyGraph:
+    return replace(g, nodes=cut(g.nodes), edges=cut(g.edges))
+
+
 def run(spark: SparkSession, arguments: list[str]) -> object:
     a = _parser().parse_args(arguments)
     if a.tool == "csv-to-static":
         g = csv.read_csv_graph(spark, a.nodes, a.edges, not a.undirected, a.separator, not a.no_headers, a.flexible)
-        g = R.with_node_ids(g, R.dense_node_ids(g))
-        g = R.reordered(g, a.reorder_node_id, a.reorder_label_id, a.reorder_label_id).graph
+        # each step reads its graph several times, so it is written before
+        g = _written(g)
+        g = _written(R.with_node_ids(g, R.dense_node_ids(g)))
+        g = _written(R.reordered(g, a.reorder_node_id, a.reorder_label_id, a.reorder_label_id).graph)
         snapshot.export(g, f"{a.out}/graph")
         snapshot.export_compact(g, f"{a.out}/compact")
         return g

@@ -352,3 +352,22 @@ def test_the_least_rows_are_chosen_without_one_task(spark, monkeypatch, small):
     for m in (0, 1, 57, 199, 200):
         want = sorted(x[:2] for x in sorted(data, key=lambda x: (x[2], x[0], x[1]))[:m])
         assert sorted(map(tuple, C._least(rows, m).collect())) == want, m
+
+
+def test_csv_to_static_reads_its_files_once(spark, tmp_path, monkeypatch):
+    """The edges count how often they are made."""
+    from graphloom import cli
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    nodes = spark.createDataFrame([(k, "a") for k in range(4)], "id long, label string")
+    edges = spark.createDataFrame([(0, 1, "x"), (1, 2, "y"), (2, 3, "x")], "src long, dst long, label string").mapInArrow(count, "src long, dst long, label string")
+    monkeypatch.setattr(csv, "read_csv_graph", lambda *_: PropertyGraph(nodes, edges))
+    cli.run(spark, ["csv-to-static", "edges", f"{tmp_path}/out", "--nodes", "nodes", "--reorder-node-id", "--reorder-label-id"])
+    assert made.value == 3, made.value
+    assert snapshot.load_compact(spark, f"{tmp_path}/out/compact").edge_count() == 3
