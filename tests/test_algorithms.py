@@ -354,6 +354,14 @@ def test_the_least_rows_are_chosen_without_one_task(spark, monkeypatch, small):
         assert sorted(map(tuple, C._least(rows, m).collect())) == want, m
 
 
+@pytest.mark.parametrize("directed", [True, False])
+def test_all_or_no_pairs_are_not_written(spark, directed):
+    g = C.random_gnp_graph(spark, 50, 1, edge_labels=["x"], directed=directed)
+    assert "Generate" in g.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert g.edge_count() == 50 * 49 // (1 if directed else 2) and g.edges.where("label = 'x' and src <> dst").count() == g.edge_count()
+    assert C.random_gnp_graph(spark, 50, 0, directed=directed).edge_count() == 0
+
+
 def test_csv_to_static_reads_its_files_once(spark, tmp_path, monkeypatch):
     """The edges count how often they are made."""
     from graphloom import cli
