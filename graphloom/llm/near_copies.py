@@ -144,31 +144,50 @@ def components(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     texts = C.settled(scratch, own.join(needed.hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text")), "texts")
     led = members.where("first < fp").select(F.col("first").alias("src"), F.col("fp").alias("dst"))
     tried = cut(led.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst").unionByName(close).distinct())
-    # what is known is carried on as a star around each root, with the pairs of the last step
+    # what is known is carried on as a root for each set; a step links roots alone
     near = C.settled(scratch, judged(tried, texts), "tried")
+    rooted = cut(stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root")))
     for step in ("led", "finer", "apart"):
         tidy(docs.sparkSession)
-        rooted = cut(stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root")))
-        root = lambda c: rooted.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}"))
-        placed = lambda df, c: df.join(root(c), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
         if step == "led":
-            more = placed(placed(led.distinct(), "src"), "dst").where("root_src <> root_dst").select("src", "dst")
+            more = between_roots(led.distinct(), rooted).select("src", "dst")
         else:
-            named = placed(members.drop("first"), "fp").withColumnRenamed("root_fp", "root")
+            named = placed(members.drop("first"), "fp", rooted).withColumnRenamed("root_fp", "root")
             mixed_bands = named.groupBy("band", "value").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "value")
             named = C.settled(scratch, named.join(mixed_bands, ["band", "value"]), f"mixed_{step}")
             more = finer(named, found) if step == "finer" else apart(named, texts, scratch)
         more = cut(more.join(tried, ["src", "dst"], "left_anti"))
         tried = tried.unionByName(more)
-        known = rooted.select(F.col("root").alias("src"), F.col("fp").alias("dst"))
-        near = known.unionByName(C.settled(scratch, judged(more, texts), step))
-    scratch.drop("texts")
-    tidy(docs.sparkSession)
-    rooted = cut(stars(near).select(F.col("id").alias("fp"), F.col("component").alias("root")))
+        near = C.settled(scratch, judged(more, texts), step)
+        if step == "apart":
+            scratch.drop("texts")
+        rooted = joined(rooted, near)
     scratch.drop()
     return rooted
 
 
+def placed(df: DataFrame, c: str, rooted: DataFrame) -> DataFrame:
+    """df with the root of its column c: of a set that rooted doesn't know, itself."""
+    root = rooted.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}"))
+    return df.join(root, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+
+
+def between_roots(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    return placed(placed(pairs, "src", rooted), "dst", rooted).where("root_src <> root_dst")
+
+
+def joined(rooted: DataFrame, near: DataFrame) -> DataFrame:
+    """fp, root: rooted with the pairs `near` (src, dst). Only the roots that these link go through the rounds of components,
+    which are many plans and tasks for the driver however few the links; where none do, rooted stays."""
+    links = cut(between_roots(near, rooted).select(F.col("root_src").alias("src"), F.col("root_dst").alias("dst")))
+    if links.isEmpty():
+        return rooted
+    now = cut(stars(links))
+    held = rooted.join(now.withColumnRenamed("id", "root"), "root", "left").select("fp", F.coalesce("component", "root").alias("root"))
+    new = now.join(rooted.select(F.col("fp").alias("id")), "id", "left_anti").select(F.col("id").alias("fp"), F.col("component").alias("root"))
+    return cut(held.unionByName(new))
+
+
 def finer(named: DataFrame, found: DataFrame) -> DataFrame:
     """src, dst: sets that share two or three bands in a row with the least set that does, roots unlike; these are likelier
     near than the band's least set, and what they join needn't be paired later."""

@@ -2,8 +2,8 @@
 
 The stars of Kiveris et al. (2014): in turn every id hands its larger neighbours to the least id it knows,
 and its smaller ones to the least of them, until every component is a star around its least id. Links only
-shrink. Each round is two aggregations and two joins on an id; rounds grow with the logarithm of the size. Beyond
-SPLIT links the aggregates are written before they are joined, so that both sides of a join are exchanged as they
+shrink. Each round is two aggregations and two joins on an id; rounds grow with the logarithm of the size. A round reads
+its links once for each of them, and what its plans left on the driver goes before the next. Beyond SPLIT links the aggregates are written before they are joined, so that both sides of a join are exchanged as they
 are and Spark may split the rows of a hub. Nothing goes to the driver but a count and a checksum.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut, shuffles_freed
+from ..scratch import cut, shuffles_freed, tidy
 
 
 #: Links beyond which a hub is worth a table of its own in each round.
@@ -26,7 +26,7 @@ def stars(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """
     a, b = F.col(src), F.col(dst)
     known = links.where(a.isNotNull() & b.isNotNull())
-    loops = known.where(a == b).select(a.alias("id")).distinct()
+    loops = known.where(a == b).select(a.alias("id"))
     star = cut(known.where(a != b).select(F.greatest(a, b).alias("big"), F.least(a, b).alias("small")).distinct())
     before = None
     while True:
@@ -35,16 +35,22 @@ def stars(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
         if now == before or now[0] == 0:
             break
         before, written = now, cut if now[0] > SPLIT else lambda df: df
-        both = star.unionByName(star.select(F.col("small").alias("big"), F.col("big").alias("small")))
+        both = _either(star, ("big", "small"), ("small", "big"))
         least = written(both.groupBy("big").agg(F.least("big", F.min("small")).alias("to")))
         large = written(both.where("small > big").join(least, "big").select(F.col("small").alias("big"), F.col("to").alias("small")).distinct())
         least = written(large.groupBy("big").agg(F.min("small").alias("to")))
-        moved = large.join(least, "big").where("small <> to").select(F.col("small").alias("big"), F.col("to").alias("small"))
-        star = cut(moved.unionByName(least.select("big", F.col("to").alias("small"))).distinct())
-    found = star.select(F.col("big").alias("id"), F.col("small").alias("component"))
-    roots = star.select(F.col("small").alias("id")).distinct()
-    alone = loops.join(found, "id", "left_anti").join(roots, "id", "left_anti")
-    return found.unionByName(roots.unionByName(alone).select("id", F.col("id").alias("component")))
+        star = cut(_either(large.join(least, "big"), ("small", "to"), ("big", "to")).where("big <> small").distinct())
+        del both, least, large
+        tidy(star.sparkSession)
+    # an id is a root, or alone with itself, where it has no lesser one
+    found = _either(star, ("big", "small"), ("small", "small")).select(F.col("big").alias("id"), F.col("small").alias("component"))
+    return found.unionByName(loops.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def _either(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """big, small: of each row these pairs of its columns, in one pass (a union would be a pass and tasks for each)."""
+    made = F.array(*[F.struct(F.col(a).alias("big"), F.col(b).alias("small")) for a, b in pairs])
+    return rows.select(F.explode(made).alias("pair")).select("pair.big", "pair.small")
 
 
 # what graphs ask of components

@@ -288,6 +288,23 @@ def test_a_hub_of_many_links(spark, monkeypatch):
     assert found.count() == 100_021 and found.where("component <> 0").isEmpty()
 
 
+def test_a_round_of_components_reads_its_links_once(spark):
+    """Tasks take the driver's memory, however few the rows: a chain of 40 links at 16 partitions, loops and repeated links beside it."""
+    from graphloom.scratch import configured
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(7, 7), (99, 99), (99, 99), (3, 2)], "src long, dst long").repartition(16)
+    context = spark.sparkContext
+    with configured(spark, {"spark.sql.shuffle.partitions": 16, "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        context.setJobGroup("rounds", "components")
+        found = {tuple(r) for r in K.stars(links).collect()}
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {(k, 0) for k in range(41)} | {(99, 99)}
+    seen = context.statusTracker()
+    stages = {s for j in seen.getJobIdsForGroup("rounds") for s in seen.getJobInfo(j).stageIds}
+    tasks = sum(i.numTasks for i in map(seen.getStageInfo, stages) if i and i.numCompletedTasks)
+    assert tasks < 1300, tasks
+
+
 def test_csv_rows_count_in_file_order(spark, tmp_path):
     """The last row of a key wins over several files and splits, whatever their sizes."""
     lines = ["nodeId:ID,:LABEL"] + [f"{k % 50},v{k}" for k in range(4000)]
