@@ -396,3 +396,30 @@ def test_csv_to_static_reads_its_files_once(spark, tmp_path, monkeypatch):
     cli.run(spark, ["csv-to-static", "edges", f"{tmp_path}/out", "--nodes", "nodes", "--reorder-node-id", "--reorder-label-id"])
     assert made.value == 3, made.value
     assert snapshot.load_compact(spark, f"{tmp_path}/out/compact").edge_count() == 3
+
+
+def test_strings_of_a_key_are_not_sorted_before_they_are_dealt_out(spark, tmp_path, monkeypatch):
+    """A task's memory follows the shuffle's partitions, whose number grows with the table, and not a file's split."""
+    from graphloom.functions import ordering
+    from graphloom.plans.derived import supply
+
+    lines = spark.range(20_000).select((F.col("id") % 5000).alias("l_partkey"), (F.col("id") % 7).alias("l_suppkey"), F.when(F.col("id") % 2 == 0, "F").otherwise("O").alias("l_linestatus"))
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("part", "supplier"):
+        spark.range(1).select(F.col("id").alias(f"{name[0]}_{name[:4]}key")).write.parquet(f"{tmp_path}/{name}.parquet")
+    g = supply(spark, str(tmp_path))
+    rows = lines.collect()
+    plain = {}
+    for r in rows:
+        key = (r["l_partkey"], r["l_suppkey"] + 10_000_000)
+        plain[key] = max(plain.get(key, ""), r["l_linestatus"])
+    for table, n in ((g.edges, 1), ((g + g).edges, 2)):
+        assert {(r["src"], r["dst"]): r["label"] for r in table.collect()} == plain
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        first = plan[: plan.index("FileScan")].rsplit("Exchange hash", 1)[-1]  # what is done to the file before anything is exchanged
+        assert "Aggregate" not in first and "Sort" not in first and plan.count("Exchange hash") >= n, plan
+    size = int(lines.sparkSession.read.parquet(f"{tmp_path}/lineitem.parquet")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    monkeypatch.setattr(ordering, "TOGETHER", size // 50)
+    assert supply(spark, str(tmp_path)).edges.rdd.getNumPartitions() >= 40
+    joined = lines.join(lines.withColumnRenamed("l_linestatus", "other").hint("merge"), ["l_partkey", "l_suppkey"])
+    assert ordering.together(joined.select("l_partkey", "l_suppkey", "other"), ["l_partkey", "l_suppkey"]).rdd.getNumPartitions() <= 4
