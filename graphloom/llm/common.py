@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import Scratch, shuffles_freed
+from ..scratch import Scratch, shuffles_freed, tidy
 from ..shipping import ship
 
 #: Rows and bytes that one Arrow batch holds at most (a single longer text makes a batch of its own).
@@ -90,7 +90,9 @@ def one_each(docs: DataFrame, printed: DataFrame, fp: str, rooted: DataFrame, do
 def settled(scratch: Scratch, df: DataFrame, name: str) -> DataFrame:
     """scratch.keep(), after which the rows that were shuffled for it go from the disks."""
     with shuffles_freed(df.sparkSession):
-        return scratch.keep(df, name)
+        held = scratch.keep(df, name)
+    tidy(df.sparkSession, if_grown=True)
+    return held
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -3,8 +3,10 @@
 The stars of Kiveris et al. (2014): in turn every id hands its larger neighbours to the least id it knows,
 and its smaller ones to the least of them, until every component is a star around its least id. Links only
 shrink. Each round is two aggregations and two joins on an id; rounds grow with the logarithm of the size. A round reads
-its links once for each of them, and what its plans left on the driver goes before the next. Beyond SPLIT links the aggregates are written before they are joined, so that both sides of a join are exchanged as they
-are and Spark may split the rows of a hub. Nothing goes to the driver but a count and a checksum.
+its links once for each of them, and what its plans left on the driver goes before the next if the driver's heap has grown.
+Before a round one aggregation looks for ids that are not yet at their place, so that links which are stars take no round and
+none is made to see that nothing changes. Beyond SPLIT links the aggregates are written before they are joined, so that both
+sides of a join are exchanged as they are and Spark may split the rows of a hub. Nothing goes to the driver but two counts.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut, shuffles_freed, tidy
+from ..scratch import cut, shuffles_freed
 
 
 #: Links beyond which a hub is worth a table of its own in each round.
@@ -28,20 +30,18 @@ def stars(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     known = links.where(a.isNotNull() & b.isNotNull())
     loops = known.where(a == b).select(a.alias("id"))
     star = cut(known.where(a != b).select(F.greatest(a, b).alias("big"), F.least(a, b).alias("small")).distinct())
-    before = None
     while True:
         with shuffles_freed(star.sparkSession):
-            now = tuple(star.agg(F.count("*"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)"))).first())
-        if now == before or now[0] == 0:
+            size, amiss = _unsettled(star).first()
+        if not amiss:
             break
-        before, written = now, cut if now[0] > SPLIT else lambda df: df
+        written = cut if size > SPLIT else lambda df: df
         both = _either(star, ("big", "small"), ("small", "big"))
         least = written(both.groupBy("big").agg(F.least("big", F.min("small")).alias("to")))
         large = written(both.where("small > big").join(least, "big").select(F.col("small").alias("big"), F.col("to").alias("small")).distinct())
         least = written(large.groupBy("big").agg(F.min("small").alias("to")))
         star = cut(_either(large.join(least, "big"), ("small", "to"), ("big", "to")).where("big <> small").distinct())
         del both, least, large
-        tidy(star.sparkSession)
     # an id is a root, or alone with itself, where it has no lesser one
     found = _either(star, ("big", "small"), ("small", "small")).select(F.col("big").alias("id"), F.col("small").alias("component"))
     return found.unionByName(loops.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
@@ -53,6 +53,13 @@ def _either(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     return rows.select(F.explode(made).alias("pair")).select("pair.big", "pair.small")
 
 
+def _unsettled(star: DataFrame) -> DataFrame:
+    """One row: the links (each there once), and the ids that keep them from being stars: these have two lesser ids, or one and a larger one."""
+    ends = F.array(F.struct(F.col("big").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("small").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ids = star.select(F.explode(ends).alias("end")).groupBy("end.id").agg(F.sum("end.up").alias("up"), F.max("end.down").alias("down"))
+    return ids.agg(F.sum("up"), F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)))
+
+
 # what graphs ask of components
 
 

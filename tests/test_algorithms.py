@@ -305,6 +305,31 @@ def test_a_round_of_components_reads_its_links_once(spark):
     assert tasks < 1300, tasks
 
 
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    """What is settled is seen before a round; links that are not yet stars in any one way take rounds until they are."""
+    rounds, either = [], K._either
+    monkeypatch.setattr(K, "_either", lambda rows, *pairs: rounds.append(pairs) or either(rows, *pairs))
+    for links, least_rounds in (
+        ([(9, 1), (1, 8), (7, 1), (3, 2), (2, 3), (5, 5), (4, None)], 0),
+        ([], 0),
+        ([(9, 1), (9, 2)], 1),
+        ([(9, 5), (5, 1)], 1),
+        ([(k, k + 1) for k in range(9)], 2),
+    ):
+        rounds.clear()
+        found = {tuple(r) for r in K.stars(spark.createDataFrame(links, "src long, dst long")).collect()}
+        ids = {x for pair in links if None not in pair for x in pair}
+        want = {x: x for x in ids}
+        for _ in ids:
+            for a, b in links:
+                if b is not None:
+                    want[a] = want[b] = min(want[a], want[b])
+        assert found == set(want.items())
+        # two passes in each round, one for the result
+        made = (len(rounds) - 1) // 2
+        assert made == 0 if least_rounds == 0 else made >= least_rounds, (links, made)
+
+
 def test_csv_rows_count_in_file_order(spark, tmp_path):
     """The last row of a key wins over several files and splits, whatever their sizes."""
     lines = ["nodeId:ID,:LABEL"] + [f"{k % 50},v{k}" for k in range(4000)]

@@ -1,11 +1,13 @@
 """What intermediate tables leave on the disks."""
 
+import platform
 import re
 import time
 
 from pyspark.sql import functions as F
 
 from graphloom.operators import components as K
+from graphloom import scratch
 from graphloom.scratch import cut
 
 
@@ -39,3 +41,30 @@ def test_rounds_of_components_leave_no_shuffled_rows(spark):
     found = K.stars(spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
     assert not left(spark, before)
     assert found.count() == 51 and found.where("component <> 0").isEmpty()
+
+
+def test_rounds_of_components_collect_only_where_the_heap_has_grown(spark, monkeypatch):
+    """A collection in each short round makes the JVM take more heap."""
+    links = spark.range(30).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    asked = []
+    monkeypatch.setattr(scratch.gc, "collect", lambda: asked.append(1))
+    for share, collects in ((1.0, False), (0.0, True)):
+        monkeypatch.setattr(scratch, "GROWN", share)
+        asked.clear()
+        assert K.stars(links).where("component <> 0").isEmpty()
+        assert bool(asked) == collects
+    asked.clear()
+    monkeypatch.setattr(scratch, "GROWN", 1.0)
+    scratch.tidy(spark)
+    assert asked
+
+
+def test_tidy_gives_freed_memory_back_to_the_system(spark, monkeypatch):
+    """After a collection; where the JVM can't, nothing is raised."""
+    asked, plain = [], scratch.trim
+    monkeypatch.setattr(scratch, "trim", lambda s: asked.append(plain(s)))
+    scratch.tidy(spark)
+    assert len(asked) == 1 and isinstance(asked[0], bool)
+    version = spark.sparkContext._jvm.java.lang.Runtime.version()
+    if (version.feature(), version.update()) >= (17, 9) and "glibc" in platform.libc_ver():
+        assert asked[0]
